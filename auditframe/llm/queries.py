@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditframe.llm import containers, leaks
+from auditframe.llm import containers, history, leaks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.replay(_table(spark, sf_dir, "intake"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.fill_containers(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "containers"))
 
@@ -23,7 +27,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_overlaps(spark, sf_dir).filter("exact_words >= 12").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p7_found, p7_overlaps)}
+QUERIES = {f.__name__: f for f in (p2_found, p6_containers, p7_found, p7_overlaps)}
 ORACLE: dict[str, str] = {
     "p7_found": r"""
 with w as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '\\\p{L}+', ' ', 'g')), '[\p{L}\p{N}]+') as w from documents),
