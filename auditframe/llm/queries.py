@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditframe.llm import containers, history, leaks
+from auditframe.llm import containers, history, languages, leaks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_overlaps(spark, sf_dir).filter("exact_words >= 12").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_containers, p7_found, p7_overlaps)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled(languages.document_languages(_table(spark, sf_dir, "documents")))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return languages.find_passages(documents, languages.fit_prototypes(documents))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_containers, p7_found, p7_overlaps, p8_found, p8_passages)}
 ORACLE: dict[str, str] = {
     "p7_found": r"""
 with w as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '\\\p{L}+', ' ', 'g')), '[\p{L}\p{N}]+') as w from documents),
