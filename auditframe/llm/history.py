@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.runtime import bucketed, written
+from auditframe.runtime import BROADCAST_ROWS, bucketed, written
 
 #: Words that may differ for each 100 words of the longer text.
 DIFFER = 15
@@ -20,8 +20,11 @@ DIFFER = 15
 #: Signatures beyond those that are needed to share one; a pair has to share that many more.
 SPARE = 3
 
-#: A signature that more texts have is refined by a second one before pairs are made.
-HOT = 200
+#: Texts with one signature, up to which all of them are paired. A batch with larger groups is settled
+#: in parts of growing size, as what the first part accepts settles most of such a group; a signature that is
+#: still hot is refined by a second one.
+HOT = 64
+PART = 8
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -32,11 +35,11 @@ def allowed(longer: int) -> int:
 
 
 def signature_count(n: int) -> int:
-    """Of ``n + 1`` word pairs, so many of the first in a fixed order meet ``SPARE + 1`` of any near text's.
+    """Of ``n + 2`` word triples, so many of the first in a fixed order meet ``SPARE + 1`` of any near text's.
 
-    Each differing word spoils two pairs; the longest near text has ``100 n / (100 - DIFFER)`` words.
+    Each differing word spoils three triples; the longest near text has ``100 n / (100 - DIFFER)`` words.
     """
-    return min(n + 1, 2 * allowed(100 * n // (100 - DIFFER)) + 1 + SPARE)
+    return min(n + 2, 3 * allowed(100 * n // (100 - DIFFER)) + 1 + SPARE)
 
 
 class Tokens(dict):
@@ -50,15 +53,17 @@ class Tokens(dict):
 
 
 def signatures(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of the text's neighbouring words, each with its occurrence number: those of the longest words, which are the rarest, first."""
-    padded = np.concatenate(([0], tokens, [0]))
-    a, b = padded[:-1].astype(np.uint64), padded[1:].astype(np.uint64)
+    """Hashes of the text's triples of neighbouring words, each with its occurrence number: those of the longest words, which are the rarest, first."""
+    padded = np.concatenate(([0, 0], tokens, [0, 0]))
+    a, b, c = (padded[i : len(padded) - 2 + i].astype(np.uint64) for i in range(3))
     h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) ^ (c * np.uint64(0x94D049BB133111EB))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    order = np.lexsort((h, -((padded[:-1] >> 56) + (padded[1:] >> 56))))
+    lengths = padded >> 56
+    order = np.lexsort((h, -(lengths[:-2] + lengths[1:-1] + lengths[2:])))
     h = h[order]
-    # equal pairs lie together: number them, so that a repeated pair counts as often as it occurs
+    # equal triples lie together: number them, so that a repeated one counts as often as it occurs
     fresh = np.concatenate(([True], h[1:] != h[:-1]))
     if not fresh.all():
         starts = np.flatnonzero(fresh)
@@ -96,21 +101,46 @@ def word_distance(a: list, b: list, most: int) -> int:
     return score
 
 
+@dataclass(frozen=True)
+class Segment:
+    """A table of signatures, and the ids of the texts in it that count (``accepted``) or don't."""
+
+    signatures: str
+    ids: str
+    accepted: bool
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        ids = spark.table(self.ids).select("text_id")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        return spark.table(self.signatures).join(ids, "text_id", "left_semi" if self.accepted else "left_anti")
+
+
 @dataclass(frozen=True)
 class History:
-    """Bucketed tables of all accepted entries: full contents, word sequences, and signatures of word pairs."""
+    """Bucketed tables of what was accepted; each batch appends one to each kind.
+
+    contents: hash of size and digest to the accepted entry; texts: hash of the word sequence to
+    the accepted entry and the id of its text; tokens: by entry; segments: by signature.
+    """
 
     contents: tuple[str, ...] = ()
     texts: tuple[str, ...] = ()
-    signatures: tuple[str, ...] = ()
+    tokens: tuple[str, ...] = ()
+    segments: tuple[Segment, ...] = ()
     buckets: int = 12
 
-    def table(self, spark: SparkSession, kind: str) -> DataFrame | None:
-        found = None
-        for name in getattr(self, kind):
-            part = spark.table(name)
-            found = part if found is None else found.unionByName(part)
-        return found
+    def table(self, spark: SparkSession, kind: str) -> DataFrame:
+        return _united([spark.table(name) for name in getattr(self, kind)])
+
+    def signatures(self, spark: SparkSession) -> DataFrame:
+        return _united([segment.rows(spark) for segment in self.segments])
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def _prepared(batch: DataFrame) -> DataFrame:
@@ -158,13 +188,13 @@ def _near_lengths(x: str, y: str) -> str:
 def _needed(x: str, y: str) -> str:
     """Signatures that a near pair shares at least."""
     longer = f"greatest({x}, {y})"
-    return f"least({SPARE + 1}, {longer} + 1 - 2 * ({DIFFER} * {longer} div 100))"
+    return f"least({SPARE + 1}, {longer} + 2 - 3 * ({DIFFER} * {longer} div 100))"
 
 
-def _pairs(lower: DataFrame, upper: DataFrame, key: str) -> DataFrame:
+def _pairs(lower: DataFrame, upper: DataFrame, key: str, own: bool) -> DataFrame:
     a = lower.select(key, F.col("text_id").alias("a"), F.col("n_words").alias("na"))
     b = upper.select(key, F.col("text_id").alias("b"), F.col("n_words").alias("nb"))
-    return a.join(b, key).filter(f"a < b and {_near_lengths('na', 'nb')}")
+    return a.join(b, key).filter(f"{'a < b' if own else 'a <> b'} and {_near_lengths('na', 'nb')}")
 
 
 def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
@@ -173,31 +203,32 @@ def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
     return rows.join(others, "text_id").filter("sig <> other").select(F.xxhash64("sig", "other").alias("sig2"), "text_id", "n_words")
 
 
-def _candidates(lower: DataFrame, upper: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Pairs (a, b), a < b, of which none that is near is missing, and whether some group is still hot.
+def _group_sizes(signed: DataFrame) -> DataFrame:
+    return signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter(f"m > {HOT}")
+
+
+def _candidates(lower: DataFrame, upper: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of text ids, of which none that is near is missing.
 
-    One table of signatures is paired with itself, or older ones with newer ones. Hot signatures,
-    if any, take a second signature as key, so a group of pairs is never formed on one alone.
+    One table of signatures is paired with itself, each pair once, or accepted ones with new ones. Signatures
+    that are hot on the lower side, if any, take a second signature as key.
     """
-    own = upper is None
-    both = lower if own else lower.unionByName(upper)
-    sizes = both.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter(f"m > {HOT}")
-    hot = written(sizes, "hot")
-    counted = lambda pairs: pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {_needed('na', 'nb')}").select("a", "b")
+    own, upper = upper is None, lower if upper is None else upper
+    hot = written(_group_sizes(lower).select("sig"), "hot")
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {_needed('na', 'nb')}").select("a", "b")
+
     if not hot.take(1):
-        return counted(_pairs(lower, lower if own else upper, "sig")), False
-    cool = lambda rows: rows.join(hot, "sig", "left_anti")
-    warm = lambda rows: _refined(rows.join(hot, "sig", "left_semi"), rows)
-    found = counted(_pairs(cool(lower), cool(lower if own else upper), "sig"))
-    low = written(warm(lower), "refined")
-    high = low if own else warm(upper)
-    still = own and bool(low.groupBy("sig2").agg(F.count(F.lit(1)).alias("m")).filter(f"m > {HOT}").take(1))
-    return found.unionByName(_pairs(low, high, "sig2").select("a", "b")).distinct(), still
+        return counted(_pairs(lower, upper, "sig", own))
+    cool, warm = (lambda rows: rows.join(hot, "sig", "left_anti")), (lambda rows: _refined(rows.join(hot, "sig", "left_semi"), rows))
+    refined = _pairs(warm(lower), warm(upper), "sig2", own).select("a", "b")
+    return counted(_pairs(cool(lower), cool(upper), "sig", own)).unionByName(refined).distinct()
 
 
 def _verified(pairs: DataFrame, lower: DataFrame, upper: DataFrame) -> DataFrame:
-    """The pairs whose word sequences differ by few enough words, counted exactly."""
-    tokens = lambda texts, side: texts.select(F.col("text_id").alias(side), F.col("tokens").alias(f"t{side}"))
+    """The pairs whose word sequences differ by few enough words, counted exactly; the token tables stay in their buckets."""
+    tokens = lambda table, side: table.select(F.col("entry_id").alias(side), F.col("tokens").alias(f"t{side}"))
     met = pairs.join(tokens(lower, "a"), "a").join(tokens(upper, "b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,25 +242,19 @@ def _verified(pairs: DataFrame, lower: DataFrame, upper: DataFrame) -> DataFrame
     return met.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint")
 
 
-def _matched(nodes: DataFrame, texts: DataFrame, signed: DataFrame, history: History) -> DataFrame:
-    """(node, entry_a): the lowest accepted entry that a node repeats; the history's tables aren't shuffled or read whole for text."""
+def _matched(nodes: DataFrame, classes: DataFrame, entries: DataFrame, signed: DataFrame, history: History) -> DataFrame:
+    """(node, entry_a): the lowest accepted entry that a node repeats. Of the history, tables are met in their buckets, and tokens read for candidates only."""
     spark = nodes.sparkSession
-    found = None
-    if (contents := history.table(spark, "contents")) is not None:
-        found = nodes.join(contents, "content_key").select("node", F.col("accepted").alias("entry_a"))
-    if (old := history.table(spark, "texts")) is not None:
-        same = nodes.join(old.select("text_key", F.col("text_id").alias("entry_a")), "text_key").select("node", "entry_a")
-        pairs, _ = _candidates(history.table(spark, "signatures"), signed)
-        near = _verified(pairs, old, texts).select(F.col("b").alias("text_id"), F.col("a").alias("entry_a"))
-        classes = nodes.select("text_key", "node").join(texts.select("text_key", "text_id"), "text_key")
-        near = classes.join(near, "text_id").select("node", "entry_a")
-        found = found.unionByName(same).unionByName(near)
-    if found is None:
-        return spark.createDataFrame([], "node bigint, entry_a bigint")
-    return found.groupBy("node").agg(F.min("entry_a").alias("entry_a"))
-
-
-def _settled(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    texts = history.table(spark, "texts")
+    copies = nodes.join(history.table(spark, "contents"), "content_key").select("node", F.col("accepted").alias("entry_a"))
+    same = nodes.join(texts, "text_key").select("node", F.col("accepted").alias("entry_a"))
+    near = _verified(_candidates(history.signatures(spark), signed), history.table(spark, "tokens"), entries)
+    near = near.join(texts.select(F.col("text_id").alias("a"), "accepted"), "a").join(classes.select(F.col("text_id").alias("b"), "text_key"), "b")
+    near = nodes.join(near.select("text_key", F.col("accepted").alias("entry_a")), "text_key").select("node", "entry_a")
+    return copies.unionByName(same).unionByName(near).groupBy("node").agg(F.min("entry_a").alias("entry_a"))
+
+
+def _settled(nodes: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
     """(node, entry_a): entry_a is the accepted node that it repeats, null if it is accepted itself.
 
     ``nodes`` are in groups (equal contents, equal texts), ``near`` pairs groups of texts. In
@@ -239,7 +264,7 @@ def _settled(nodes: DataFrame, near: DataFrame) -> DataFrame:
     """
     text_group, content_group = F.struct(F.lit(0).alias("kind"), F.col("text_key").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("content_key").alias("key"))
     member = nodes.select("node", F.explode(F.filter(F.array(F.when(F.col("text_key").isNotNull(), text_group), F.when(F.col("content_key").isNotNull(), content_group)), lambda x: x.isNotNull())).alias("grp"))
-    text_of = nodes.filter("text_key is not null").groupBy("text_key").agg(F.min("node").alias("text_id"))
+    text_of = classes.select("text_id", "text_key")
     both = near.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y")))
     seen = both.join(text_of.select(F.col("text_id").alias("x"), F.col("text_key").alias("own")), "x").join(text_of.select(F.col("text_id").alias("y"), F.col("text_key").alias("other")), "y")
     # a node sees its own groups of two and more, and the groups near its text
@@ -278,27 +303,23 @@ def _same_keys():
     return same & (F.col("content_key").isNotNull() | F.col("text_key").isNotNull())
 
 
-def _appended(history: History, accepted: DataFrame, texts: DataFrame, signed: DataFrame) -> History:
-    """The history with the accepted nodes' hashes appended as further bucketed tables."""
-    held = texts.join(accepted.filter("text_key is not null").groupBy("text_key").agg(F.min("node").alias("accepted")), "text_key")
-    held = written(held.select("text_key", "text_id", "accepted", "n_words", "tokens"), "accepted-texts")
-    ids = held.select("text_id", "accepted")
-    return History(
-        (*history.contents, bucketed(accepted.filter("content_key is not null").select("content_key", F.col("node").alias("accepted")), "contents", history.buckets, "content_key")),
-        (*history.texts, bucketed(held.select("text_key", F.col("accepted").alias("text_id"), "n_words", "tokens"), "texts", history.buckets, "text_key")),
-        (*history.signatures, bucketed(signed.join(ids, "text_id").select("sig", F.col("accepted").alias("text_id"), "n_words"), "signatures", history.buckets, "sig")),
-        history.buckets,
-    )
+def _accepted(nodes: DataFrame, settled: DataFrame, classes: DataFrame, buckets: int) -> tuple[str, str]:
+    """Tables of the contents and texts that a part of a batch accepts."""
+    new = nodes.join(settled.filter("entry_a is null"), "node", "left_semi")
+    contents = new.filter("content_key is not null").select("content_key", F.col("node").alias("accepted"))
+    texts = classes.join(new.filter("text_key is not null").groupBy("text_key").agg(F.min("node").alias("accepted")), "text_key").select("text_key", "text_id", "accepted")
+    return bucketed(contents, "contents", buckets, "content_key"), bucketed(texts, "texts", buckets, "text_key")
 
 
-def _in_parts(batch: DataFrame, history: History, keep: bool) -> tuple[DataFrame, History] | None:
-    """A batch in which many texts are near each other, its lowest eighth first: what that accepts settles most of the rest."""
-    cut = batch.agg(F.percentile_approx("entry_id", 0.125).alias("cut"), F.max("entry_id").alias("last")).first()
-    if cut["cut"] is None or cut["cut"] >= cut["last"]:
-        return None
-    low, history = ingest(batch.filter(F.col("entry_id") <= cut["cut"]), history, True)
-    high, history = ingest(batch.filter(F.col("entry_id") > cut["cut"]), history, keep)
-    return low.unionByName(high), history
+def _parts(entries: DataFrame, signed: DataFrame) -> list[tuple[int | None, int | None]]:
+    """Ranges (above, up to) of entry ids, one unless a signature is hot: then each holds ``PART`` times as much as all before it."""
+    most, levels, cuts = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0, 0, []
+    while most > HOT * PART**levels and levels < 8:
+        levels += 1
+    if levels:
+        shares = [PART**-k for k in range(levels, 0, -1)]
+        cuts = sorted(set(entries.agg(F.percentile_approx("entry_id", shares, 100_000)).first()[0] or []))
+    return list(zip([None, *cuts], [*cuts, None]))
 
 
 def ingest(batch: DataFrame, history: History | None = None, keep: bool = True) -> tuple[DataFrame, History]:
@@ -307,7 +328,7 @@ def ingest(batch: DataFrame, history: History | None = None, keep: bool = True)
     ``batch``: entry_id (above all earlier ones), size, sha256, body. An entry is accepted
     unless it repeats an accepted one: size and digest known and equal (letter case aside), or
     both with bodies whose word sequences are equal or differ by at most ``DIFFER`` words per 100 of
-    the longer. Full copies meet by hash. Near texts meet by signatures of word pairs, of which near
+    the longer. Full copies meet by hash. Near texts meet by signatures of word triples, of which near
     texts share some for certain; candidates are then compared word by word. Entries of size
     0 are left out; an entry with neither digest and size nor body repeats nothing. Bodies
     without words equal each other. A repeated entry_id is one entry. An empty batch
@@ -315,33 +336,46 @@ def ingest(batch: DataFrame, history: History | None = None, keep: bool = True)
     """
     history = history or History()
     spark = batch.sparkSession
-    entries = written(_prepared(batch), "entries")
-    nodes = written(
-        entries.groupBy("content_key", "text_key", F.when(F.col("content_key").isNull() & F.col("text_key").isNull(), F.col("entry_id")).alias("lone")).agg(F.min("entry_id").alias("node")).drop("lone"),
-        "nodes",
-    )
-    classes = nodes.filter("text_key is not null").groupBy("text_key").agg(F.min("node").alias("text_id"))
-    texts = written(entries.join(classes, (entries.entry_id == classes.text_id) & (entries.text_key == classes.text_key)).select("text_id", classes.text_key, "n_words", "tokens").dropDuplicates(["text_id"]), "texts")
-    signed = spark.table(bucketed(_signed(texts), "batch_signatures", history.buckets, "sig"))
-    matched = written(_matched(nodes, texts, signed, history), "matched")
-    fresh = nodes.join(matched, "node", "left_anti")
-    if history.texts:
-        kept_texts = written(texts.join(fresh.select("text_key").distinct(), "text_key", "left_semi"), "fresh-texts")
-        fresh_signed = signed.join(kept_texts.select("text_id"), "text_id", "left_semi")
-    else:
-        kept_texts, fresh_signed = texts, signed
-    pairs, still_hot = _candidates(fresh_signed)
-    if still_hot and (parts := _in_parts(batch, history, keep)) is not None:
-        return parts
-    near = _verified(pairs, kept_texts, kept_texts)
-    settled = written(_settled(fresh, near), "settled")
-    fates = matched.unionByName(settled)
-    owners = entries.select("entry_id", *_KEYS).join(nodes.select("node", *[F.col(c).alias(f"n_{c}") for c in _KEYS]), _same_keys())
-    repeats = owners.join(fates, "node").select(F.coalesce("entry_a", "node").alias("entry_a"), F.col("entry_id").alias("entry_b")).filter("entry_a < entry_b")
+    token_table = bucketed(_prepared(batch), "tokens", history.buckets, "entry_id")
+    entries = spark.table(token_table)
+    keyed = entries.select("entry_id", *_KEYS, "n_words")
+    classes = written(keyed.filter("text_key is not null").groupBy("text_key", "n_words").agg(F.min("entry_id").alias("text_id")), "classes")
+    # a repeated entry_id may have rows with other bodies: the key tells which of them is the text
+    texts = entries.join(classes.select("text_key", "text_id"), (entries.entry_id == F.col("text_id")) & (entries.text_key == classes.text_key))
+    signed_table = bucketed(_signed(texts.select("text_id", "n_words", "tokens")), "signatures", history.buckets, "sig")
+    signed, known, repeats, own_texts = spark.table(signed_table), history, [], []
+    parts = _parts(keyed, signed)
+    for above, upto in parts:
+        part = keyed if above is None else keyed.filter(F.col("entry_id") > above)
+        part = part if upto is None else part.filter(F.col("entry_id") <= upto)
+        lone = F.when(F.col("content_key").isNull() & F.col("text_key").isNull(), F.col("entry_id")).alias("lone")
+        nodes = written(part.groupBy(*_KEYS, lone).agg(F.min("entry_id").alias("node")).drop("lone"), "nodes")
+        fresh, matched = nodes, None
+        if known.contents:
+            new_signed = signed if len(parts) == 1 else _of_texts(signed, nodes, classes)
+            matched = written(_matched(nodes, classes, entries, new_signed, known), "matched")
+            fresh = nodes.join(matched, "node", "left_anti")
+        fresh_signed = signed if matched is None and len(parts) == 1 else _of_texts(signed, fresh, classes)
+        settled = written(_settled(fresh, classes, _verified(_candidates(fresh_signed), entries, entries)), "settled")
+        fates = settled if matched is None else matched.unionByName(settled)
+        owners = part.join(nodes.select("node", *[F.col(c).alias(f"n_{c}") for c in _KEYS]), _same_keys())
+        repeats.append(owners.join(fates, "node").select(F.coalesce("entry_a", "node").alias("entry_a"), F.col("entry_id").alias("entry_b")).filter("entry_a < entry_b").distinct())
+        if keep or upto is not None:
+            contents, accepted = _accepted(nodes, settled, classes, history.buckets)
+            own_texts.append(accepted)
+            segments = (*history.segments, *(Segment(signed_table, name, True) for name in own_texts))
+            known = History((*known.contents, contents), (*known.texts, accepted), (*history.tokens, token_table), segments, history.buckets)
     if not keep:
-        return repeats.distinct(), history
-    accepted = nodes.join(settled.filter("entry_a is null"), "node", "left_semi")
-    return repeats.distinct(), _appended(history, accepted, texts, signed)
+        return _united(repeats), history
+    standing = _united([spark.table(name) for name in own_texts])
+    refused = bucketed(classes.select("text_id").join(standing, "text_id", "left_anti"), "refused", history.buckets, "text_id")
+    return _united(repeats), History(known.contents, known.texts, known.tokens, (*history.segments, Segment(signed_table, refused, False)), history.buckets)
+
+
+def _of_texts(signed: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Signatures of the nodes' texts."""
+    ids = written(classes.join(nodes.select("text_key").distinct(), "text_key", "left_semi").select("text_id"), "text-ids")
+    return signed.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "text_id", "left_semi")
 
 
 def replay(intake: DataFrame, buckets: int = 12) -> DataFrame:
