@@ -1,3 +1,356 @@
-"""Queries of the audits."""
-QUERIES = {}
-ORACLE = {}
+"""Queries of the audits over the given tables, with SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditframe.operators import catalogrules, csvrules, issues, jsonlrules, manifest, rejects, textrules, ziprules
+from auditframe.operators.csvrules import CsvRules
+from auditframe.operators.jsonlrules import JsonlRules
+from auditframe.operators.textrules import TextRules
+from auditframe.operators.ziprules import ZipRules
+from auditframe.streaming import rules as streaming
+
+QUERIES, ORACLE = {}, {}
+
+
+def _query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- inventories -----------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".tex"))
+    return manifest.manifest(_table(spark, sf_dir, "documents"), path, F.col("text"))
+
+
+def _inventory(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One row for each path: the latest seen."""
+    latest = F.max(F.struct("seen_at", "size", "sha256")).alias("v")
+    rows = _table(spark, sf_dir, name).select(F.concat("vol_name", F.lit("/"), "path").alias("path"), "seen_at", "size", F.lower("sha256").alias("sha256"))
+    return rows.groupBy("path").agg(latest).select("path", "v.size", "v.sha256")
+
+
+_M = "m as (select coalesce(source, 'none') || '/' || doc_id || '.tex' as path, octet_length(encode(text)) as size, sha256(text) as sha256 from documents)"
+_SIDE = "(select vol_name || '/' || path as path, size, lower(sha256) as sha256 from inventory_{0} qualify row_number() over (partition by vol_name, path order by seen_at desc nulls last, size desc nulls last, lower(sha256) desc nulls last) = 1)"
+_DIFF = f"""d as (select coalesce(b.path, a.path) as path,
+  case when b.path is null then 'added' when a.path is null then 'removed' when b.size is not distinct from a.size and b.sha256 is not distinct from a.sha256 then 'unchanged' else 'modified' end as change,
+  b.size as before_size, b.sha256 as before_sha256, a.size as after_size, a.sha256 as after_sha256
+  from {_SIDE.format("primary")} b full join {_SIDE.format("replica")} a on a.path = b.path)"""
+_GROUPS = "g as (select size, sha256, count(*) as files, size * (count(*) - 1) as reclaimable_bytes from m where size >= {0} group by size, sha256 having count(*) > 1)"
+
+
+@_query(f"with {_M} select * from m")
+def manifest_build(spark, sf_dir):
+    return _documents(spark, sf_dir)
+
+
+@_query(f"with {_M} select * from m where not (path like '%3.tex' or path like '%/9_.tex' or split_part(path, '/', 1) = 'openshelf')")
+def manifest_exclude(spark, sf_dir):
+    return manifest.without_excluded(_documents(spark, sf_dir), ["*3.tex", "*/9?.tex", "openshelf"])
+
+
+@_query(f"with {_M} select path, size, sha256 from m")
+def manifest_component_sort(spark, sf_dir):
+    return manifest.in_component_order(_documents(spark, sf_dir))
+
+
+@_query(
+    r"""with e as (select entry_id as idx, path, size, sha256, row_number() over (partition by path order by entry_id) as nth, string_split(path, '/') as parts from intake),
+f as (select idx, case when path is null or path = '' then 'invalid_path'
+  when contains(path, '\') or list_contains(parts, '') or list_contains(parts, '.') or list_contains(parts, '..') then 'not_normalized' when nth > 1 then 'duplicate_path'
+  when size is null or size < 0 then 'invalid_size' when sha256 is null or not regexp_full_match(sha256, '[0-9a-f]{64}') then 'invalid_digest' end as fault from e)
+select * from f where fault is not null"""
+)
+def manifest_validate(spark, sf_dir):
+    return manifest.faults(_table(spark, sf_dir, "intake").withColumnRenamed("entry_id", "idx"))
+
+
+@_query(f"with {_DIFF} select * from d where change <> 'unchanged'")
+def manifest_diff(spark, sf_dir):
+    return manifest.difference(_inventory(spark, sf_dir, "inventory_primary"), _inventory(spark, sf_dir, "inventory_replica"))
+
+
+@_query(f"with {_DIFF} select count(*) filter (change = 'added') as added, count(*) filter (change = 'removed') as removed, count(*) filter (change = 'modified') as modified, count(*) filter (change = 'unchanged') as unchanged from d")
+def manifest_diff_summary(spark, sf_dir):
+    return manifest.difference_summary(_inventory(spark, sf_dir, "inventory_primary"), _inventory(spark, sf_dir, "inventory_replica"))
+
+
+@_query(f"with {_DIFF} select path, change from d")
+def manifest_verify(spark, sf_dir):
+    """The replica against the primary, the replica also holding the manifest's own file."""
+    own = spark.createDataFrame([("manifest.json", 2, "0" * 64)], "path string, size bigint, sha256 string")
+    current = _inventory(spark, sf_dir, "inventory_replica").unionByName(own)
+    return manifest.verified(_inventory(spark, sf_dir, "inventory_primary"), current, "manifest.json").select("path", "change")
+
+
+@_query(f"with {_M}, {_GROUPS.format(1)} select sha256, size, files, reclaimable_bytes, path from m join g using (size, sha256)")
+def manifest_duplicates(spark, sf_dir):
+    return manifest.duplicate_files(_documents(spark, sf_dir)).orderBy(F.desc("reclaimable_bytes"), F.desc("size"), "sha256", "path")
+
+
+@_query(f"with {_M}, {_GROUPS.format(3000)} select sha256, size, files, reclaimable_bytes from g")
+def manifest_duplicates_minsize(spark, sf_dir):
+    return manifest.duplicate_groups(_documents(spark, sf_dir), 3000)
+
+
+@_query(f"with {_M}, {_GROUPS.format(1)} select (select count(*) from m) as scanned_files, (select count(*) from m where size >= 1) as eligible_files, count(*) as duplicate_groups, coalesce(sum(files), 0) as duplicate_files, coalesce(sum(reclaimable_bytes), 0) as reclaimable_bytes from g")
+def manifest_duplicates_summary(spark, sf_dir):
+    return manifest.duplicate_summary(_documents(spark, sf_dir))
+
+
+_POLICY = {"version": 1, "max_files": 100, "max_total_bytes": 10_000, "max_file_bytes": 20_000, "required_paths": ["LICENSE", "openshelf/README"], "forbidden_patterns": ["openshelf", "*7.tex"]}
+
+
+@_query(f"with {_M} select count(*) as files, sum(size) as total_bytes, max(size) as largest_file_bytes from m")
+def policy_totals(spark, sf_dir):
+    return manifest.policy_totals(_documents(spark, sf_dir))
+
+
+@_query(
+    f"""with {_M}, t as (select count(*) as files, sum(size) as total, max(size) as largest from m)
+select 0 as rule_ord, 'max_files' as rule, null as path, files as actual, 100 as maximum, null as patterns from t where files > 100
+union all select 1, 'max_total_bytes', null, total, 10000, null from t where total > 10000
+union all select 2, 'max_file_bytes', null, largest, 20000, null from t where largest > 20000
+union all select 3, 'required_path', p, null, null, null from (values ('LICENSE'), ('openshelf/README')) v(p) where p not in (select path from m)
+union all select 4, 'forbidden_pattern', path, null, null, concat_ws('|', case when path like '%7.tex' then '*7.tex' end, case when split_part(path, '/', 1) = 'openshelf' then 'openshelf' end) from m
+  where path like '%7.tex' or split_part(path, '/', 1) = 'openshelf'"""
+)
+def policy_violations(spark, sf_dir):
+    return manifest.policy_violations(_documents(spark, sf_dir), _POLICY).withColumn("patterns", F.array_join("patterns", "|"))
+
+
+@_query(f"with {_M} select path, size from m where size > 20000")
+def policy_oversize(spark, sf_dir):
+    return manifest.oversize_files(_documents(spark, sf_dir), 20_000)
+
+
+# ---- CSV -------------------------------------------------------------------------------------
+
+_CSV = CsvRules(("id", "event"), ("id", "event"), "id", {"id": "integer", "occurred_on": "date", "duration_ms": "number", "success": "boolean"}, 24)
+
+
+def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of csv_lines as parsed rows of their files; records with broken quoting have no fields to check and are left out."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, lines, fields = [], [], []
+            for name, line, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    fields.append(rejects.read_fields(rejects.without_ending(raw or "").lstrip("﻿" if line == 1 else "")))
+                except ValueError:
+                    continue
+                names.append(name)
+                lines.append(line)
+            records = pa.array(lines, pa.int64())
+            columns = [pa.array(names, pa.string()), pa.array([x - 1 for x in lines], pa.int64()), records, pa.array(fields, pa.list_(pa.string())), pa.nulls(len(lines), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "record", "line", "fields", "error"])
+
+    return _table(spark, sf_dir, "csv_lines").select("file_name", "line_no", "raw_line").mapInArrow(parse, csvrules.ROW_SCHEMA)
+
+
+_C = r"""raw as (
+  select file_name as file, line_no as line, regexp_replace(case when line_no = 1 then ltrim(raw_line, chr(65279)) else raw_line end, '(\r\n|\n|\r)\z', '') as r from csv_lines
+), parsed as (
+  select file, line, case when r = '' then [] else list_transform(regexp_extract_all(r || ',', '(?s)("(?:[^"]|"")*"|(?:[^",][^,]*)?),', 1), lambda x: case when starts_with(x, '"') then replace(x[2:-2], '""', '"') else x end) end as f
+  from raw where regexp_full_match(r, '(?s)("(?:[^"]|"")*"|(?:[^",][^,]*)?)(,("(?:[^"]|"")*"|(?:[^",][^,]*)?))*')
+), data as (select *, len(f) as n from parsed where line > 1),
+firsts as (select file, f[1] as v, min(line) as first_line from data where n = 5 group by all having count(*) > 1),
+found as (
+  select file, line, 'blank_row' as code, null as "column", null as first_line from data where n = 0
+  union all select file, line, 'row_width', null, null from data where n not in (0, 5)
+  union all select file, line, 'empty_required_values', null, null from data where n = 5 and (f[1] = '' or f[3] = '')
+  union all select d.file, line, 'duplicate_unique_value', 'id', first_line from data d join firsts on d.file = firsts.file and d.f[1] = firsts.v and d.line > first_line where n = 5
+  union all select file, line, 'field_too_large', ['id', 'occurred_on', 'event', 'duration_ms', 'success'][i], null from data, range(1, 6) as t(i) where n = 5 and octet_length(encode(f[i])) > 24
+  union all select file, line, 'invalid_type', 'id', null from data where n = 5 and f[1] <> '' and not regexp_full_match(f[1], '[+-]?[0-9]+')
+  union all select file, line, 'invalid_type', 'occurred_on', null from data where n = 5 and f[2] <> ''
+    and not coalesce(regexp_full_match(f[2], '[0-9]{4}-[0-9]{2}-[0-9]{2}') and f[2][1:4] <> '0000' and try_cast(f[2] as date) is not null, false)
+  union all select file, line, 'invalid_type', 'duration_ms', null from data where n = 5 and f[4] <> '' and not (
+    regexp_full_match(f[4], '[ \t\n\v\f\r]*[+-]?([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?[ \t\n\v\f\r]*')
+    and coalesce(isfinite(try_cast(regexp_replace(f[4], '[_ \t\n\v\f\r]', '', 'g') as double)), false))
+  union all select file, line, 'invalid_type', 'success', null from data where n = 5 and f[5] not in ('', 'true', 'false')
+)"""
+
+
+@_query(f"with {_C} select * from found")
+def csv_issues(spark, sf_dir):
+    return csvrules.csv_issues(_csv_rows(spark, sf_dir), _CSV).select("file", "line", "code", "column", "first_line")
+
+
+@_query(
+    f"""with {_C}, bad as (select distinct file, line from found), rep as (select file, line from found where code = 'duplicate_unique_value')
+select d.file, count(*) as data_rows, count(*) filter (bad.line is null) as valid_rows, count(*) filter (bad.line is not null) as invalid_rows, count(*) filter (n = 0) as blank_rows,
+  count(rep.line) as duplicate_rows, coalesce(max(case when n = 5 then list_max(list_transform(f, lambda x: octet_length(encode(x)))) end), 0) as maximum_field_bytes
+from data d left join bad on bad.file = d.file and bad.line = d.line left join rep on rep.file = d.file and rep.line = d.line group by d.file"""
+)
+def csv_summary(spark, sf_dir):
+    return csvrules.csv_summary(_csv_rows(spark, sf_dir), _CSV)
+
+
+@_query()
+def stream_rejects(spark, sf_dir):
+    """p1's rule on the same records read as a stream."""
+    return streaming.drained(streaming.rejected_stream(streaming.stream_of(spark, f"{sf_dir}/csv_lines.parquet").filter("line_no > 1")), "stream")
+
+
+# ---- JSON Lines ------------------------------------------------------------------------------
+
+_JSONL = JsonlRules(("k",), "k", False, 9)
+_DIRT = "case when event_id % 13 = 0 then ' ' when event_id % 17 = 0 then concat(props, ' x') when event_id % 19 = 0 then '[1]' when event_id % 23 = 0 then '{\"k\":1,\"k\":2}' when event_id % 29 = 0 then '{\"k\":NaN}' when event_id % 31 = 0 then '{\"j\":1}' else props end"
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' properties as lines of one file for each type, with faults put in by rule."""
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.col("event_id").alias("line"), F.expr(_DIRT).alias("content"))
+
+
+_J = f"""l as (select event_type as file, event_id as line, {_DIRT} as content, case when event_id % 13 = 0 then 'blank_line' when event_id % 17 = 0 then 'invalid_json' when event_id % 19 = 0 then 'non_object_record'
+    when event_id % 23 = 0 then 'duplicate_json_key' when event_id % 29 = 0 then 'invalid_json_constant' when event_id % 31 = 0 then 'no_key' else 'good' end as kind from events),
+firsts as (select file, json_extract_string(content, '$.k') as v, min(line) as first_line from l where kind = 'good' group by all having count(*) > 1),
+found as (select file, line, kind as code, null as first_line from l where kind not in ('good', 'no_key')
+  union all select file, line, 'line_too_large', null from l where kind <> 'blank_line' and octet_length(encode(content)) > 9
+  union all select file, line, 'missing_required_fields', null from l where kind = 'no_key'
+  union all select file, line, 'missing_unique_field', null from l where kind = 'no_key'
+  union all select l.file, line, 'duplicate_unique_value', first_line from l join firsts on l.file = firsts.file and json_extract_string(content, '$.k') = firsts.v and line > first_line where kind = 'good')"""
+
+
+@_query(f"with {_J} select * from found")
+def jsonl_issues(spark, sf_dir):
+    return jsonlrules.jsonl_issues(_json_lines(spark, sf_dir), _JSONL).select("file", "line", "code", "first_line")
+
+
+@_query(
+    f"""with {_J}, n as (select file, line, count(*) as errors, count(*) filter (code = 'duplicate_unique_value') as reps from found group by all)
+select l.file, count(*) as total_lines, count(*) filter (kind = 'blank_line') as blank_lines, count(*) filter (kind in ('good', 'no_key')) as object_records, count(*) filter (kind in ('good', 'no_key') and errors is null) as valid_records,
+  count(errors) as invalid_lines, coalesce(sum(reps), 0) as duplicate_records, coalesce(sum(errors), 0) as error_count from l left join n on n.file = l.file and n.line = l.line group by l.file"""
+)
+def jsonl_summary(spark, sf_dir):
+    return jsonlrules.jsonl_summary(_json_lines(spark, sf_dir), _JSONL)
+
+
+# ---- text ------------------------------------------------------------------------------------
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").cast("binary").alias("content"))
+
+
+_T = r"""base as (select cast(doc_id as varchar) as file, text, octet_length(encode(text)) as byte_count, len(text) - len(replace(text, chr(13) || chr(10), chr(10))) as crlf,
+    len(text) - len(replace(text, chr(10), '')) as n, len(text) - len(replace(text, chr(13), '')) as r, text = '' or right(text, 1) in (chr(10), chr(13)) as final from documents),
+t as (select file, text, byte_count, crlf as crlf_endings, n - crlf as lf_endings, r - crlf as bare_cr_endings, final, case when text = '' then [] when final then p[1:len(p) - 1] else p end as lines
+  from (select *, regexp_split_to_array(text, '\r\n|\r|\n') as p from base)),
+ln as (select file, i as line, lines[i] as v, octet_length(encode(lines[i])) as size from t, range(1, len(lines) + 1) as x(i))"""
+
+
+@_query(
+    f"""with {_T}, ls as (select file, count(*) filter (v like '% ' or v like '%' || chr(9)) as trailed, max(size) as most from ln group by file)
+select t.file, byte_count, len(lines) as line_count, case when (crlf_endings > 0)::int + (lf_endings > 0)::int + (bare_cr_endings > 0)::int > 1 then 'mixed' when crlf_endings > 0 then 'crlf' when lf_endings > 0 then 'lf'
+    when bare_cr_endings > 0 then 'cr' else 'none' end as newline_style, lf_endings, crlf_endings, bare_cr_endings, final as has_final_newline, starts_with(text, chr(65279)) as has_utf8_bom, len(text) - len(replace(text, chr(0), '')) as nul_bytes,
+  coalesce(trailed, 0) as trailing_whitespace_lines, coalesce(most, 0) as maximum_line_bytes from t left join ls on ls.file = t.file"""
+)
+def text_summary(spark, sf_dir):
+    return textrules.text_summary(_texts(spark, sf_dir))
+
+
+_TI = f"""{_T}, found as (
+  select file, 0 as rule_ord, 0 as sub_ord, 'utf8_bom' as code, null as line from t where starts_with(text, chr(65279)) union all select file, 1, 0, 'nul_bytes', null from t where contains(text, chr(0))
+  union all select file, 3, 0, 'mixed_newlines', null from t where (crlf_endings > 0)::int + (lf_endings > 0)::int + (bare_cr_endings > 0)::int > 1
+  union all select file, 4, 0, 'bare_cr_newline', null from t where bare_cr_endings > 0 union all select file, 5, 0, 'missing_final_newline', null from t where not final
+  union all select file, 6, 2 * line - 2, 'trailing_whitespace', line from ln where v like '% ' or v like '%' || chr(9) union all select file, 6, 2 * line - 1, 'line_too_large', line from ln where size > 400)"""
+_TEXT = TextRules(max_line_bytes=400)
+
+
+@_query(f"with {_TI} select file, code, line from found")
+def text_issues(spark, sf_dir):
+    return textrules.text_issues(_texts(spark, sf_dir), _TEXT).select("file", "code", "line")
+
+
+@_query(f"with {_TI} select code, count(*) as n from found group by code")
+def issue_code_counts(spark, sf_dir):
+    return issues.code_counts(textrules.text_issues(_texts(spark, sf_dir), _TEXT))
+
+
+@_query(f"with {_TI} select file, code, line, row_number() over (partition by file order by rule_ord, sub_ord) as issue_no from found qualify issue_no <= 5")
+def issue_topk(spark, sf_dir):
+    return issues.reported(textrules.text_issues(_texts(spark, sf_dir), _TEXT), 5, "file").select("file", "code", "line", "issue_no")
+
+
+# ---- archives and catalogs -------------------------------------------------------------------
+
+_NAME = "case when entry_id % 11 = 0 then concat('../', path) when entry_id % 13 = 0 then concat('/', path) when entry_id % 17 = 0 then replace(path, '/', '\\\\') when entry_id % 19 = 0 then upper(path) when entry_id % 23 = 0 then replace(path, '/', '//') when entry_id % 29 = 0 then concat('C:', path) else path end"
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intake's batches as archives, with hazards put into some names by rule."""
+    return _table(spark, sf_dir, "intake").select(
+        F.concat(F.lit("batch-"), F.col("batch_no").cast("string")).alias("archive"), F.col("entry_id").alias("entry_index"), F.expr(_NAME).alias("name"), F.lit(False).alias("is_dir"),
+        F.expr("cast(coalesce(octet_length(body), size, 0) div 40 as bigint)").alias("compress_size"), F.expr("cast(coalesce(size, 0) as bigint)").alias("file_size"),
+        F.expr("cast(case when entry_id % 37 = 0 then 2717843456 else 0 end as bigint)").alias("external_attr"), F.expr("cast(entry_id % 41 = 0 as int)").alias("flag_bits"),
+    )
+
+
+_ZIP = ZipRules(200_000, 1_000_000, 60.0)
+_Z = r"""e as (select 'batch-' || batch_no as archive, entry_id as entry_index, """ + _NAME.replace("'\\\\'", "'\\'") + r""" as name, cast(coalesce(octet_length(encode(body)), size, 0) as bigint) // 40 as packed, cast(coalesce(size, 0) as bigint) as size, entry_id from intake),
+p as (select *, string_split(regexp_replace(replace(name, '\', '/'), '/\z', ''), '/') as parts from e),
+h as (select *, name = '' or contains(name, chr(0)) as h1, regexp_matches(name, '(?s)\A([/\\]|.:)') as h2, contains(name, '\') as h3, list_contains(parts, '..') as h4, list_contains(parts, '') or list_contains(parts, '.') as h5 from p),
+s as (select *, array_to_string(parts, '/') as canonical, lower(array_to_string(parts, '/')) as folded from h where not (h1 or h2 or h3 or h4 or h5)),
+holders as (select archive, folded, first(name order by entry_index) as hname, first(canonical order by entry_index) as hcanon, min(entry_index) as hindex from s group by all having count(*) > 1),
+names as (select archive, name, min(entry_index) as first_index from e group by all having count(*) > 1),
+found as (
+  select archive, entry_index, 'invalid_path' as code, null as first_entry_index from h where h1 union all select archive, entry_index, 'absolute_or_drive_path', null from h where h2
+  union all select archive, entry_index, 'backslash_path', null from h where h3 union all select archive, entry_index, 'parent_traversal', null from h where h4 union all select archive, entry_index, 'non_normalized_path', null from h where h5
+  union all select e.archive, entry_index, 'duplicate_path', first_index from e join names on names.archive = e.archive and names.name = e.name and entry_index > first_index
+  union all select s.archive, entry_index, case when hcanon = canonical then 'normalized_path_collision' else 'case_collision' end, hindex from s join holders on holders.archive = s.archive and holders.folded = s.folded and hname <> name
+  union all select archive, entry_index, 'symlink_entry', null from e where entry_id % 37 = 0 union all select archive, entry_index, 'encrypted_entry', null from e where entry_id % 41 = 0
+  union all select archive, entry_index, 'entry_too_large', null from e where size > 200000 union all select archive, entry_index, 'compression_ratio_exceeded', null from e where size > 0 and (packed = 0 or size / packed > 60)
+  union all select archive, null, 'archive_too_large', null from (select archive, sum(size) as total from e group by archive) where total > 1000000)"""
+
+
+@_query(f"with {_Z} select * from found")
+def zip_issues(spark, sf_dir):
+    return ziprules.zip_issues(_entries(spark, sf_dir), _ZIP).select("archive", "entry_index", "code", "first_entry_index")
+
+
+@_query(
+    f"""with {_Z} select archive, count(*) as entry_count, count(*) as file_count, 0 as directory_count, sum(packed) as total_compressed_bytes, sum(size) as total_uncompressed_bytes, max(size) as largest_entry_uncompressed_bytes,
+  round(coalesce(max(case when size > 0 and packed > 0 then size / packed end), 0), 6) as highest_finite_compression_ratio, count(*) filter (size > 0 and packed = 0) as unbounded_compression_ratio_entries from e group by archive"""
+)
+def zip_summary(spark, sf_dir):
+    return ziprules.zip_summary(_entries(spark, sf_dir)).withColumn("highest_finite_compression_ratio", F.round("highest_finite_compression_ratio", 6))
+
+
+@_query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'F')")
+def fk_violations(spark, sf_dir):
+    """Line items that refer to no order among those not finished."""
+    parents = _table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'")
+    return catalogrules.orphans(_table(spark, sf_dir, "lineitem"), parents, ["l_orderkey"], ["o_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+_CATALOG = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@_query(f"select table_name as name, count(*) as column_count from information_schema.columns where table_name in {_CATALOG} group by all")
+def catalog_counts(spark, sf_dir):
+    """Column counts of the star schema's tables, from catalog rows as the database reader gives them."""
+    rows = []
+    for name in _CATALOG:
+        rows.append(("db", "object", 0, "table", name, name, None, None, None, None, None))
+        rows += [("db", "column", i, None, c, name, 0, 0, 0, None, None) for i, c in enumerate(_table(spark, sf_dir, name).columns)]
+    return catalogrules.table_counts(spark.createDataFrame(rows, catalogrules.CATALOG_SCHEMA)).select("name", "column_count")

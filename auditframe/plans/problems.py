@@ -130,3 +130,4 @@ union all select feed, load_no, 'status' from (
   select feed, load_no from steps where p is not null and abs(sn * n2 - sn2 * n) * 100 > 10 * n * n2
   union select feed, load_no from moved where sk > 0 and sk2 > 0 and abs(c * sk2 - c2 * sk) * 100 > 15 * sk * sk2)""",
 }
+ORACLE["stream_rejects"] = ORACLE["p1_found"]

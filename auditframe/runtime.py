@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,36 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Folders written by this driver, removed when it ends; ``released`` removes them earlier.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    local = path.removeprefix("file://")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        pass
+
+
+@atexit.register
+def released() -> None:
+    """Remove all intermediate tables; results not yet read from them can't be read any more."""
+    while _WRITTEN:
+        _remove(*_WRITTEN.pop())
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, to be removed in the end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees: ``spark.checkpoint.dir``, else a local one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a lineage cut that survives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,12 +70,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> str:
     """Write ``df`` as a table bucketed and sorted by ``keys`` in the shared folder; the table's name."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
     (
         df.repartition(buckets, *keys)
         .write.bucketBy(buckets, *keys)
         .sortBy(*keys)
-        .option("path", f"{shared_dir(spark)}/{table}")
+        .option("path", path)
         .saveAsTable(table)
     )
     return table
@@ -51,3 +86,17 @@ def small_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFra
     """``df`` written out, with a broadcast hint if it has at most ``limit`` rows; else left to sort-merge."""
     kept = written(df, name)
     return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_auditframe_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="auditframe-")) / "auditframe-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._auditframe_shipped = True
