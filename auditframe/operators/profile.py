@@ -14,7 +14,7 @@ DOMINANT, RARE = 0.2, 0.01
 #: Forms a column may declare: the masks a well-formed value can have, and its value as a number (null: off form).
 FORMS = {
     "date": (r"\A9999-99-99\z", "case when substring(value, 1, 4) <> '0000' then datediff(try_to_date(value, 'yyyy-MM-dd'), date'1970-01-01') end"),
-    "number": (r"\A[ \t\n\x0b\f\r]*[+-]?(?:9+\.?9*|\.9+)(?:[aA][+-]?9+)?[ \t\n\x0b\f\r]*\z", "try_cast(regexp_replace(value, '[ \\t\\n\\x0b\\f\\r]', '') as double)"),
+    "number": (r"\A[ \t\n\x0b\f\r]*[+-]?(?:9+\.?9*|\.9+)(?:[aA][+-]?9+)?[ \t\n\x0b\f\r]*\z", r"try_cast(regexp_replace(value, '\\s', '') as double)"),
 }
 
 
