@@ -29,10 +29,11 @@ def object_counts(catalog: DataFrame) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, child_keys: Sequence[str], parent_keys: Sequence[str]) -> DataFrame:
     """Child rows whose key no parent has; a key with a null part refers to nothing and is no violation."""
-    keyed = child.dropna(subset=list(child_keys))
-    wanted = parent.select(*[F.col(p).alias(f"_parent_{i}") for i, p in enumerate(parent_keys)])
-    met = [F.col(c) == F.col(f"_parent_{i}") for i, c in enumerate(child_keys)]
+    # rows travel as structs, so that no column name can clash
+    keyed = child.dropna(subset=list(child_keys)).select(F.struct("*").alias("row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(child_keys)])
+    wanted = parent.select(*[F.col(p).alias(f"p{i}") for i, p in enumerate(parent_keys)])
+    met = [F.col(f"c{i}") == F.col(f"p{i}") for i in range(len(child_keys))]
     on = met[0]
     for more in met[1:]:
         on = on & more
-    return keyed.join(wanted, on, "left_anti")
+    return keyed.join(wanted, on, "left_anti").select("row.*")

@@ -89,10 +89,14 @@ def duplicate_files(entries: DataFrame, min_size: int = 1) -> DataFrame:
 
 
 def duplicate_summary(entries: DataFrame, min_size: int = 1) -> DataFrame:
-    groups = duplicate_groups(entries, min_size).agg(
-        F.count(F.lit(1)).alias("duplicate_groups"), F.coalesce(F.sum("files"), F.lit(0)).alias("duplicate_files"), F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).cast("decimal(38,0)").alias("reclaimable_bytes")
-    )
-    return entries.agg(F.count(F.lit(1)).alias("scanned_files"), F.count_if(F.col("size") >= min_size).alias("eligible_files")).crossJoin(groups)
+    """One row of counts over all entries; an empty inventory gives zeros."""
+    contents = entries.groupBy("size", "sha256").agg(F.count(F.lit(1)).alias("n"))
+    eligible, repeated = F.coalesce(F.col("size") >= natural("min_size", min_size), F.lit(False)), F.col("n") > 1
+    total = lambda when, value: F.coalesce(F.sum(F.when(when, value)), F.lit(0))
+    return contents.agg(
+        total(F.lit(True), F.col("n")).alias("scanned_files"), total(eligible, F.col("n")).alias("eligible_files"), F.count_if(eligible & repeated).alias("duplicate_groups"),
+        total(eligible & repeated, F.col("n")).alias("duplicate_files"), total(eligible & repeated, F.col("size").cast("decimal(38,0)") * (F.col("n") - 1)).cast("decimal(38,0)").alias("reclaimable_bytes"),
+    )
 
 
 def policy_totals(entries: DataFrame) -> DataFrame:

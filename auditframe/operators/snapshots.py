@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.runtime import bucketed, small_side
+from auditframe.runtime import bucket_count, bucketed, small_side
 
 _KEY = ("root_name", "path")
 
@@ -18,7 +18,6 @@ class SnapshotIndex:
     """Bucketed table (root_name, path, snapshot_no, value_hash): the last snapshot of every root."""
 
     table: str
-    buckets: int
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.table(self.table)
@@ -105,7 +104,7 @@ def snapshot_changes(batch: DataFrame, index: SnapshotIndex | None = None) -> Da
     return found
 
 
-def next_index(batch: DataFrame, index: SnapshotIndex | None = None, buckets: int = 12) -> SnapshotIndex:
+def next_index(batch: DataFrame, index: SnapshotIndex | None = None) -> SnapshotIndex:
     """The index after ``batch``, to be swapped in for ``index``: roots not delivered keep their entries."""
     rows = hashed_rows(batch.dropna(subset=["root_name", "snapshot_no", "path"]))
     last = small_side(rows.groupBy(F.col("root_name").alias("r")).agg(F.max("snapshot_no").alias("last_no")), "last")
@@ -113,7 +112,7 @@ def next_index(batch: DataFrame, index: SnapshotIndex | None = None, buckets: in
     kept = kept.select(*_KEY, "snapshot_no", "value_hash")
     if index is not None:
         kept = kept.unionByName(index.rows(batch.sparkSession).join(last, F.col("root_name") == F.col("r"), "left_anti"))
-    return SnapshotIndex(bucketed(kept, "snapshot_index", buckets, *_KEY), buckets)
+    return SnapshotIndex(bucketed(kept, "snapshot_index", bucket_count(batch.sparkSession), *_KEY))
 
 
 def changed_values(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -128,11 +127,11 @@ def changed_values(changes: DataFrame, before: DataFrame, after: DataFrame) -> D
     return some.join(values(before, "old_value"), list(_KEY)).join(values(after, "new_value"), list(_KEY))
 
 
-def replay(snapshots: DataFrame, buckets: int = 12) -> DataFrame:
+def replay(snapshots: DataFrame) -> DataFrame:
     """All changes of a delivered history: the backlog as one batch, then each root's last snapshot against the swapped index."""
     last = snapshots.groupBy(F.col("root_name").alias("r")).agg(F.max("snapshot_no").alias("last_no"))
     last = small_side(last, "newest")
     split = snapshots.join(last, F.col("root_name") == F.col("r"))
     backlog, newest = split.filter("snapshot_no < last_no").drop("r", "last_no"), split.filter("snapshot_no = last_no").drop("r", "last_no")
-    index = next_index(backlog, None, buckets)
+    index = next_index(backlog)
     return snapshot_changes(backlog).unionByName(snapshot_changes(newest, index))

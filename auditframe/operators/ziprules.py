@@ -40,10 +40,13 @@ class ZipRules:
 def hazards(entries: DataFrame) -> DataFrame:
     """Entries with a flag for each path hazard, ``safe``, and the canonical path of the safe ones. A null name is empty."""
     name = F.coalesce(F.col("name"), F.lit(""))
-    translated = F.replace(name, F.lit("\\"), F.lit("/"))
+    translated = F.replace(F.col("name"), F.lit("\\"), F.lit("/"))
     parts = F.split(F.regexp_replace(translated, r"/\z", ""), "/", -1)
     nothing = translated.isin("", "/")
-    rows = entries.withColumn("name", name).select(
+    own = [F.col(c) for c in ("archive", "entry_index", "is_dir", "compress_size", "file_size", "external_attr", "flag_bits")]
+    rows = entries.select(*own, name.alias("name"))
+    name = F.col("name")
+    rows = rows.select(
         "*", ((name == "") | name.contains("\0")).alias("invalid_path"), name.rlike(r"(?s)\A(?:[/\\]|.:)").alias("absolute_or_drive_path"), name.contains("\\").alias("backslash_path"),
         (~nothing & F.array_contains(parts, "..")).alias("parent_traversal"), (nothing | F.arrays_overlap(parts, F.array(F.lit(""), F.lit(".")))).alias("non_normalized_path"), F.array_join(parts, "/").alias("canonical"),
     )

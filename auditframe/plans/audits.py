@@ -13,6 +13,7 @@ from auditframe.operators.csvrules import CsvRules
 from auditframe.operators.jsonlrules import JsonlRules
 from auditframe.operators.textrules import TextRules
 from auditframe.operators.ziprules import ZipRules
+from auditframe.runtime import spread
 from auditframe.streaming import rules as streaming
 
 QUERIES, ORACLE = {}, {}
@@ -163,7 +164,7 @@ def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             columns = [pa.array(names, pa.string()), pa.array([x - 1 for x in lines], pa.int64()), records, pa.array(fields, pa.list_(pa.string())), pa.nulls(len(lines), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["file", "record", "line", "fields", "error"])
 
-    return _table(spark, sf_dir, "csv_lines").select("file_name", "line_no", "raw_line").mapInArrow(parse, csvrules.ROW_SCHEMA)
+    return spread(_table(spark, sf_dir, "csv_lines").select("file_name", "line_no", "raw_line")).mapInArrow(parse, csvrules.ROW_SCHEMA)
 
 
 _C = r"""raw as (
@@ -218,7 +219,7 @@ _DIRT = "case when event_id % 13 = 0 then ' ' when event_id % 17 = 0 then concat
 
 def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' properties as lines of one file for each type, with faults put in by rule."""
-    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.col("event_id").alias("line"), F.expr(_DIRT).alias("content"))
+    return spread(_table(spark, sf_dir, "events").select("event_id", "event_type", "props")).select(F.col("event_type").alias("file"), F.col("event_id").alias("line"), F.expr(_DIRT).alias("content"))
 
 
 _J = f"""l as (select event_type as file, event_id as line, {_DIRT} as content, case when event_id % 13 = 0 then 'blank_line' when event_id % 17 = 0 then 'invalid_json' when event_id % 19 = 0 then 'non_object_record'
@@ -249,7 +250,7 @@ def jsonl_summary(spark, sf_dir):
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").cast("binary").alias("content"))
+    return spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").cast("binary").alias("content")))
 
 
 _T = r"""base as (select cast(doc_id as varchar) as file, text, octet_length(encode(text)) as byte_count, len(text) - len(replace(text, chr(13) || chr(10), chr(10))) as crlf,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditframe.operators import copies, profile, rejects, snapshots
 
@@ -34,7 +35,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["occurred_on", "event", "duration_ms", "success", "status"]
-    return profile.profile_loads(_table(spark, sf_dir, "event_log"), ["feed", "load_no"], "load_no", fields, {"occurred_on": "date", "duration_ms": "number"})
+    found = profile.profile_loads(_table(spark, sf_dir, "event_log"), ["feed", "load_no"], "load_no", fields, {"occurred_on": "date", "duration_ms": "number"})
+    return found.withColumns({"dominant_masks": F.array_join("dominant_masks", "|"), "rare_share": F.round("rare_share", 6), "mask_shift": F.round("mask_shift", 6)})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_events, p3_found, p4_found, p5_found, p5_profile)}
@@ -131,3 +133,27 @@ union all select feed, load_no, 'status' from (
   union select feed, load_no from moved where sk > 0 and sk2 > 0 and abs(c * sk2 - c2 * sk) * 100 > 15 * sk * sk2)""",
 }
 ORACLE["stream_rejects"] = ORACLE["p1_found"]
+
+_NUMBER = r"regexp_full_match(value, '[ \t\n\v\f\r]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\v\f\r]*')"
+ORACLE["p5_profile"] = (
+    "with v as ("
+    + " union all ".join(f"select feed, load_no, '{f}' as field_name, {f} as value from event_log" for f in ("occurred_on", "event", "duration_ms", "success", "status"))
+    + rf"""), j as (
+  select *, case when field_name = 'occurred_on' and regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and value[1:4] <> '0000' then cast(datediff('day', date '1970-01-01', try_cast(value as date)) as double)
+    when field_name = 'duration_ms' and {_NUMBER} and isfinite(try_cast(regexp_replace(value, '[ 	
+]', '', 'g') as double)) then try_cast(regexp_replace(value, '[ 	
+]', '', 'g') as double) end as number,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[0-9]', '9', 'g'), '\p{{Lu}}', 'A', 'g'), '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]', 'a', 'g'), '99+', '9+', 'g'), 'aa+', 'a+', 'g'), 'AA+', 'A+', 'g') as mask from v
+), s as (
+  select feed, load_no, field_name, count(*) as rows, count(*) - count(value) as nulls, count(distinct value) as distinct_values, min(value) as least_value, max(value) as greatest_value, min(number) as least_number, max(number) as greatest_number,
+    count(*) filter (field_name in ('occurred_on', 'duration_ms') and value <> '' and number is null) as off_form, quantile_disc(number, 0.5) as median from j group by all
+), m as (select feed, load_no, field_name, mask, count(*) as n from j where value is not null group by all),
+  t as (select feed, load_no, field_name, sum(n) as total from m group by all),
+  sh as (select m.*, n / total as share from m join t using (feed, load_no, field_name)),
+  o as (select feed, load_no, field_name, coalesce(string_agg(mask, '|' order by mask) filter (share >= 0.2), '') as dominant_masks, round(sum(case when share < 0.01 then share else 0 end), 6) as rare_share from sh group by all),
+  nx as (select *, lead(load_no) over w as following, lag(load_no) over w as prior from t window w as (partition by feed, field_name order by load_no)),
+  g as (select feed, load_no, field_name, mask, abs(sum(share)) as gap from (select feed, load_no, field_name, mask, share from sh
+    union all select sh.feed, following, sh.field_name, mask, -share from sh join nx on nx.feed = sh.feed and nx.load_no = sh.load_no and nx.field_name = sh.field_name where following is not null) group by all),
+  gs as (select g.feed, g.load_no, g.field_name, round(sum(gap) / 2, 6) as mask_shift from g join nx on nx.feed = g.feed and nx.load_no = g.load_no and nx.field_name = g.field_name where prior is not null group by all)
+select s.*, dominant_masks, rare_share, mask_shift from s left join o using (feed, load_no, field_name) left join gs using (feed, load_no, field_name)"""
+)

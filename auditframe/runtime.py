@@ -88,6 +88,20 @@ def small_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(kept) if kept.count() <= limit else kept
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for work that costs much more than reading: shared out anew if it has fewer partitions than there are cores.
+
+    Only inputs too small to be split are shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a table: as many as shuffles have partitions, so that it grows with the cluster's setting."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the executors, once for each application."""
     context = spark.sparkContext
