@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditframe.llm.markup import paragraphs
+from auditframe.runtime import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru")
 
@@ -56,14 +58,21 @@ def trigrams(word: str) -> list[int]:
     return [(a * SIZE + b) * SIZE + c for a, b, c in zip(padded, padded[1:], padded[2:])]
 
 
+@cache
 def _letters() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SIZE, DIMENSIONS))
 
 
+@cache
+def _places() -> tuple[np.ndarray, ...]:
+    """The letters' vectors for each place in a trigram."""
+    return tuple(np.roll(_letters(), k, 1) for k in (2, 1, 0))
+
+
 def bind(codes: np.ndarray) -> np.ndarray:
     """The hypervectors of trigrams: the letters' vectors, permuted by their place, multiplied."""
-    letters = _letters()
-    return np.roll(letters, 2, 1)[codes // SIZE // SIZE] * np.roll(letters, 1, 1)[codes // SIZE % SIZE] * letters[codes % SIZE]
+    first, second, third = _places()
+    return first[codes // SIZE // SIZE] * second[codes // SIZE % SIZE] * third[codes % SIZE]
 
 
 def bundle(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -76,61 +85,88 @@ def bundle(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Prototypes:
-    """For each language its unit prototype, less what all have in common, and every trigram's product with each.
+    """For each language its unit prototype, less what all have in common, and known trigrams' products with each.
 
     A text's hypervector is the sum of its trigrams', so its products with the prototypes
-    are the sums of the trigrams' products: the table gives them exactly, without forming the
-    text's vector. It has ``SIZE ** 3`` rows, whatever the corpus.
+    are the sums of the trigrams' products, exactly, without forming the text's vector.
+    Trigrams that the sample didn't have are multiplied when they first occur.
     """
 
     languages: tuple[str, ...]
-    table: np.ndarray
+    vectors: np.ndarray
+    codes: np.ndarray
+    products: np.ndarray
     margin: float
 
     @staticmethod
     def fit(counts: Mapping[str, Mapping[int, int]]) -> Prototypes:
         """From each language's trigram counts; a language without any gets no prototype."""
         known = tuple(lang for lang in LANGUAGES if counts.get(lang))
-        vectors = []
-        for lang in known:
-            codes = np.array(list(counts[lang]), np.int64)
-            v = bundle(codes, np.array(list(counts[lang].values()), np.float64) / sum(counts[lang].values()))
-            vectors.append(v / np.linalg.norm(v))
         if not known:
-            return Prototypes((), np.zeros((SIZE**3, 0), np.float32), 0.0)
-        p = np.array(vectors)
+            return Prototypes((), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros((0, 0), np.float32), 0.0)
+        own = [(np.array(list(counts[lang]), np.int64), np.array(list(counts[lang].values()), np.float64)) for lang in known]
+        p = np.array([bundle(codes, n / n.sum()) for codes, n in own])
+        p /= np.linalg.norm(p, axis=1, keepdims=True)
         if len(known) > 1:
             p = p - p.mean(0)
         p = (p / np.linalg.norm(p, axis=1, keepdims=True)).astype(np.float32)
-        letters = _letters().astype(np.float32)
-        first, second = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
-        third = (letters[:, None, :] * p[None]).reshape(-1, DIMENSIONS).T
-        table = np.concatenate([((first[a] * second) @ third).reshape(-1, len(known)) for a in range(SIZE)])
-        # the average lead, a word, of a language over the next in its own text
-        leads = []
-        for k, lang in enumerate(known):
-            codes, n = np.array(list(counts[lang]), np.int64), np.array(list(counts[lang].values()), np.float64)
-            mean = n @ table[codes] / n.sum()
-            leads.append(mean[k] - max([x for j, x in enumerate(mean) if j != k], default=0.0))
-        return Prototypes(known, table, float(np.mean(leads)) * 6)
-
-
-class WordScores(dict):
-    """Word to the row of its products with the prototypes; forgotten now and then to stay small."""
+        codes = np.unique(np.concatenate([c for c, _ in own]))
+        products = multiplied(codes, p)
+        # the average lead, a trigram, of a language over the next in its own text
+        means = [n @ products[np.searchsorted(codes, c)] / n.sum() for c, n in own]
+        leads = [m[k] - max([x for j, x in enumerate(m) if j != k], default=0.0) for k, m in enumerate(means)]
+        return Prototypes(known, p, codes, products, float(np.mean(leads)) * 6)
 
-    def __init__(self, prototypes: Prototypes):
+
+def multiplied(codes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Each trigram's products with the vectors."""
+    parts = [bind(codes[i : i + 2000]).astype(np.float32) @ vectors.T for i in range(0, len(codes), 2000)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(vectors)), np.float32)
+
+
+class _Rows(dict):
+    """Keys to rows of a growing table."""
+
+    def __init__(self, width: int):
         super().__init__()
-        self.table = prototypes.table
-        self.rows = np.zeros((1 << 16, self.table.shape[1]), np.float32)
+        self.rows = np.zeros((1 << 15, width), np.float32)
 
-    def __missing__(self, word: str) -> int:
+    def add(self, key, row: np.ndarray) -> int:
         k = len(self)
         if k == len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        self.rows[k] = self.table[trigrams(word)].sum(0)
-        self[word] = k
+        self.rows[k] = row
+        self[key] = k
         return k
 
+
+class TrigramScores(_Rows):
+    """Trigram to the row of its products with the prototypes."""
+
+    def __init__(self, prototypes: Prototypes):
+        super().__init__(len(prototypes.languages))
+        self.vectors = prototypes.vectors
+        self.rows = prototypes.products.copy()
+        self.update(zip(prototypes.codes.tolist(), range(len(prototypes.codes))))
+
+    def __missing__(self, code: int) -> int:
+        return self.add(code, multiplied(np.array([code]), self.vectors)[0])
+
+    def of(self, codes: list[int]) -> np.ndarray:
+        at = [self[c] for c in codes]
+        return self.rows[at]
+
+
+class WordScores(_Rows):
+    """Word to the row of its products with the prototypes; forgotten now and then to stay small."""
+
+    def __init__(self, prototypes: Prototypes):
+        super().__init__(len(prototypes.languages))
+        self.trigrams = TrigramScores(prototypes)
+
+    def __missing__(self, word: str) -> int:
+        return self.add(word, self.trigrams.of(trigrams(word)).sum(0))
+
     def of(self, words: list[str]) -> np.ndarray:
         if len(self) > 400_000:
             self.clear()
@@ -174,12 +210,12 @@ def passages(text: str, scores: WordScores, penalty: float) -> Iterator[tuple[in
                 begin = i
 
 
-def cosine(words: list[str], table: np.ndarray, language: int) -> float:
+def cosine(words: list[str], scores: TrigramScores, language: int) -> float:
     """Cosine of a passage with a prototype; its own length is that of a sum of nearly orthogonal trigrams."""
     codes, n = np.unique(np.array([c for w in words for c in trigrams(w)], np.int64), return_counts=True)
     if not len(codes):
         return 0.0
-    return float(n @ table[codes, language] / np.sqrt(DIMENSIONS * (n.astype(np.float64) ** 2).sum()))
+    return float(n @ scores.of(codes.tolist())[:, language] / np.sqrt(DIMENSIONS * (n.astype(np.float64) ** 2).sum()))
 
 
 def label_languages(label: Column) -> Column:
@@ -211,7 +247,7 @@ def fit_prototypes(documents: DataFrame, sample: int = SAMPLE) -> Prototypes:
                             total[code, t] = total.get((code, t), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["code", "trigram", "n"])
 
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("code", "text")
+    texts = spread(documents.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("code", "text")
     counts: dict[str, dict[int, int]] = {}
     for code, t, n in texts.mapInArrow(count, "code string, trigram int, n bigint").groupBy("code", "trigram").agg(F.sum("n")).collect():
         counts.setdefault(code, {})[t] = n
@@ -239,11 +275,11 @@ def find_passages(documents: DataFrame, prototypes: Prototypes, every: bool = Tr
                     continue
                 for number, first, n, k, _, words in passages(text.as_py() or "", scores, SWITCH_WORDS * p.margin):
                     if every or n >= PASSAGE:
-                        rows.append((key, number, first, n, p.languages[k], cosine(words, p.table, k)))
+                        rows.append((key, number, first, n, p.languages[k], cosine(words, scores.trigrams, k)))
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(find, "doc_id bigint, paragraph_no int, first_word int, n_words int, lang string, confidence double")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(find, "doc_id bigint, paragraph_no int, first_word int, n_words int, lang string, confidence double")
 
 
 def document_languages(documents: DataFrame, prototypes: Prototypes | None = None) -> DataFrame:
@@ -272,11 +308,11 @@ def document_languages(documents: DataFrame, prototypes: Prototypes | None = Non
                 order = sorted(found, key=lambda k: (-len(found[k]), p.languages[k]))
                 held.append([p.languages[k] for k in order])
                 counts.append([len(found[k]) for k in order])
-                sure.append([cosine(found[k], p.table, k) for k in order])
+                sure.append([cosine(found[k], scores.trigrams, k) for k in order])
             columns = [pa.array(c, kind) for c, kind in zip((held, counts, sure), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "named", "held", "words", "confidence"])
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), label_languages(F.col("lang")).alias("named"), "text")
+    rows = spread(documents.select("doc_id", "lang", "text")).select(F.col("doc_id").cast("bigint"), label_languages(F.col("lang")).alias("named"), "text")
     return rows.mapInArrow(judge, "doc_id bigint, named array<string>, held array<string>, words array<bigint>, confidence array<double>")
 
 

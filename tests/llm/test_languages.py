@@ -57,7 +57,7 @@ def test_table_is_the_product(fitted):
     vector = L.bind(codes).astype(np.float64).sum(0)
     summed = L.WordScores(fitted).of(words).sum(0)
     exact = [float(vector @ L.bind(codes).sum(0)) / (vector @ vector)]
-    assert exact == [1.0] and np.isclose(L.cosine(words, fitted.table, 1), summed[1] / np.linalg.norm(vector), rtol=0.1)
+    assert exact == [1.0] and np.isclose(L.cosine(words, L.TrigramScores(fitted), 1), summed[1] / np.linalg.norm(vector), rtol=0.1)
 
 
 def test_documents(spark, fitted):
