@@ -13,7 +13,7 @@ from auditframe.operators.csvrules import CsvRules
 from auditframe.operators.jsonlrules import JsonlRules
 from auditframe.operators.textrules import TextRules
 from auditframe.operators.ziprules import ZipRules
-from auditframe.runtime import spread
+from auditframe.runtime import spread, written
 from auditframe.streaming import rules as streaming
 
 QUERIES, ORACLE = {}, {}
@@ -148,7 +148,7 @@ _CSV = CsvRules(("id", "event"), ("id", "event"), "id", {"id": "integer", "occur
 
 
 def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of csv_lines as parsed rows of their files; records with broken quoting have no fields to check and are left out."""
+    """The records of csv_lines as rows of their files, parsed once; records with broken quoting have no fields to check and are left out."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,8 @@ def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             columns = [pa.array(names, pa.string()), pa.array([x - 1 for x in lines], pa.int64()), records, pa.array(fields, pa.list_(pa.string())), pa.nulls(len(lines), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["file", "record", "line", "fields", "error"])
 
-    return spread(_table(spark, sf_dir, "csv_lines").select("file_name", "line_no", "raw_line")).mapInArrow(parse, csvrules.ROW_SCHEMA)
+    raw = spread(_table(spark, sf_dir, "csv_lines").select("file_name", "line_no", "raw_line"))
+    return written(raw.mapInArrow(parse, csvrules.ROW_SCHEMA), "csv-rows")
 
 
 _C = r"""raw as (
