@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.runtime import written
+from auditframe.runtime import spread, written
 
 #: Where the public tokenizers' files lie.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -19,6 +19,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 GROUP_PIECES = 20_000
 
 
+#: Kinds of containers in one call, at most: each adds a row for every text.
+MAX_KINDS = 1000
+
+
 def tokenizer(path: str = TOKENIZER):
     """The byte-level tokenizer whose ranks lie at ``path``."""
     import public_tokenizers
@@ -37,7 +41,7 @@ def count_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             sizes = [len(encode(text.as_py() or "")) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(count, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(count, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
 
 
 class OpenBins:
@@ -92,14 +96,19 @@ def fill_containers(documents: DataFrame, containers: DataFrame, path: str = TOK
     hash over groups of about ``group_pieces`` and packed within them by best fit decreasing, so no
     task holds more than a group's open containers, and a group that grows beyond twice its
     size (equal ids) starts anew. Texts without tokens get a piece of size 0 in some container.
-    Each kind is a task of its own; a kind whose capacity is null or not positive, or an empty
+    Each kind is a task of its own, and more than ``MAX_KINDS`` are an error; a kind whose capacity is null or not positive, or an empty
     table, gives no rows. Rows with one doc_id are separate texts. Other columns aren't read.
     """
     sizes = written(count_tokens(documents, path), "token-counts")
     groups = max(1, -(-sizes.count() // group_pieces))
-    kinds = F.broadcast(containers.select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).filter("capacity > 0").distinct().limit(1000))
+    kinds = [(k, c) for k, c in containers.select("container_kind", F.col("capacity_tokens").cast("bigint")).filter("capacity_tokens > 0").distinct().take(MAX_KINDS + 1)]
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    each = F.array(*[F.struct(F.lit(k).cast("string").alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(kinds, key=str)])
+    each = each if kinds else F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
     cut = F.expr("transform(sequence(0, greatest((n_tokens - 1) div capacity, 0)), i -> struct(cast(i as int) as piece_no, i * capacity as first_token, least(capacity, n_tokens - i * capacity) as size))")
-    pieces = sizes.crossJoin(kinds).select("container_kind", "capacity", "doc_id", F.explode(cut).alias("p")).select("container_kind", "capacity", "doc_id", "p.*")
+    tasks = sizes.select("doc_id", "n_tokens", F.explode(each).alias("k")).select("doc_id", "n_tokens", "k.*")
+    pieces = tasks.select("container_kind", "capacity", "doc_id", F.explode(cut).alias("p")).select("container_kind", "capacity", "doc_id", "p.*")
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", "size"), F.lit(groups)).cast("int"))
     ordered = pieces.repartition("container_kind", "grp").sortWithinPartitions("container_kind", "capacity", "grp", F.desc("size"), "doc_id", "piece_no")
     kind = documents.schema["doc_id"].dataType.simpleString()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditframe.runtime import written
+
 #: Shares of a column's non-null values: a mask is dominant from the first on, and rare below the second.
 DOMINANT, RARE = 0.2, 0.01
 
@@ -125,7 +127,7 @@ def profile_loads(rows: DataFrame, by: Sequence[str], order: str, fields: Sequen
     count as often as they are delivered. An empty table gives an empty profile. Columns not
     named are not read, so their names can't clash; nulls in ``by`` form loads of their own.
     """
-    judged = judged_counts(value_counts(rows, by, fields), forms)
+    judged = written(judged_counts(value_counts(rows, by, fields), forms), "judged")
     return load_statistics(judged, by).join(mask_statistics(judged, by, order), [*by, "field_name"], "left")
 
 
@@ -144,11 +146,11 @@ def shifted_loads(
     value by value. A share is undefined, and never moves, where a load has no value to share.
     """
     forms = {"occurred_on": "date", "duration_ms": "number"} if forms is None else forms
-    judged = judged_counts(value_counts(rows, by, [*forms, *categories]), forms)
+    judged = written(judged_counts(value_counts(rows, by, [*forms, *categories]), forms).drop("mask"), "judged")
     group = [*by, "field_name"]
     series = [c for c in group if c != order]
     in_order = Window.partitionBy(*series).orderBy(order)
-    stats = load_statistics(judged, by).withColumn("known", F.col("rows") - F.col("nulls"))
+    stats = written(load_statistics(judged, by), "load-statistics").withColumn("known", F.col("rows") - F.col("nulls"))
     seen = ("rows", "nulls", "known", "off_form", "median")
     pairs = stats.select(*group, *seen, F.lag(order).over(in_order).isNull().alias("first"), *[F.lag(c).over(in_order).alias(f"old_{c}") for c in seen], F.lead(order).over(in_order).alias("next"))
     dates = ", ".join(f"'{f}'" for f, form in forms.items() if form == "date") or "''"
