@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.runtime import spread
+
 #: Fixed masks, 1 where a token counts: each spans 8 tokens and ignores three of them.
 MASKS = ("11101001", "11010011")
 
@@ -104,11 +106,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, subs
     own = items.select("item_id", "text").dropna().distinct()
     size = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // BLOCK_CHARS))
-    found = None
+    texts, found = spread(documents.select("doc_id", "text")), None
     for block in range(blocks):
         part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else own
         index = spark.sparkContext.broadcast(SeedIndex([(r[0], r[1]) for r in part.toLocalIterator()], masks))
-        hits = documents.select("doc_id", "text").mapInArrow(_search(index, min_words, substitutions), "doc_id bigint, item_id bigint, overlap_words int, exact_words int")
+        hits = texts.mapInArrow(_search(index, min_words, substitutions), "doc_id bigint, item_id bigint, overlap_words int, exact_words int")
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.max("overlap_words").alias("overlap_words"), F.max("exact_words").alias("exact_words"))
 
