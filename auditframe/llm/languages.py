@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cache
@@ -152,10 +153,6 @@ class TrigramScores(_Rows):
     def __missing__(self, code: int) -> int:
         return self.add(code, multiplied(np.array([code]), self.vectors)[0])
 
-    def of(self, codes: list[int]) -> np.ndarray:
-        at = [self[c] for c in codes]
-        return self.rows[at]
-
 
 class WordScores(_Rows):
     """Word to the row of its products with the prototypes; forgotten now and then to stay small."""
@@ -163,16 +160,33 @@ class WordScores(_Rows):
     def __init__(self, prototypes: Prototypes):
         super().__init__(len(prototypes.languages))
         self.trigrams = TrigramScores(prototypes)
+        self.parts: list[list[int]] = []
 
     def __missing__(self, word: str) -> int:
-        return self.add(word, self.trigrams.of(trigrams(word)).sum(0))
+        parts = [self.trigrams[c] for c in trigrams(word)]
+        self.parts.append(parts)
+        return self.add(word, self.trigrams.rows[parts].sum(0))
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self) > 400_000:
             self.clear()
+            self.parts.clear()
         at = [self[w] for w in words]
         return self.rows[at]
 
+    def cosine(self, words: list[str], language: int) -> float:
+        """Cosine of a passage with a prototype; its own length is that of a sum of nearly orthogonal trigrams."""
+        product = float(self.of(words)[:, language].sum())
+        places, times = [], []
+        for word, n in Counter(words).items():
+            own = self.parts[self[word]]
+            places += own
+            times += [n] * len(own)
+        if not places:
+            return 0.0
+        counts = np.bincount(places, times)
+        return product / float(np.sqrt(DIMENSIONS * (counts @ counts)))
+
 
 def _path(scores: np.ndarray, penalty: float) -> list[int]:
     """The best sequence of languages for sentences with these scores, each change costing ``penalty``."""
@@ -188,34 +202,32 @@ def _path(scores: np.ndarray, penalty: float) -> list[int]:
     return path[::-1]
 
 
-def passages(text: str, scores: WordScores, penalty: float) -> Iterator[tuple[int, int, int, int, int, list[str]]]:
-    """(paragraph, first word, number of words, language, sentences, words) of the runs of one language in a text's prose."""
+def passages(text: str, scores: WordScores, penalty: float) -> list[tuple[int, int, int, int, list[str]]]:
+    """(paragraph, first word, number of words, language, words) of the runs of one language in a text's prose."""
+    words, ends, spans = [], [], []
     for number, paragraph in enumerate(paragraphs(text)):
-        words, ends = [], []
+        first, begin = len(ends), len(words)
         for sentence in _SENTENCE.split(paragraph.lower()):
             words += _WORD.findall(sentence)
             if len(words) > (ends[-1] if ends else 0):
                 ends.append(len(words))
-        if not words:
-            continue
-        starts = [0, *ends[:-1]]
-        summed = np.add.reduceat(scores.of(words), starts, 0)
-        path = summed.argmax(1).tolist()
+        if len(words) > begin:
+            spans.append((number, begin, first, len(ends)))
+    if not words:
+        return []
+    starts = [0, *ends[:-1]]
+    summed = np.add.reduceat(scores.of(words), starts, 0)
+    best, found = summed.argmax(1).tolist(), []
+    for number, begin, first, last in spans:
+        path = best[first:last]
         if len(set(path)) > 1:
-            path = _path(summed, penalty)
-        begin = 0
-        for i in range(1, len(path) + 1):
-            if i == len(path) or path[i] != path[begin]:
-                yield number, starts[begin], ends[i - 1] - starts[begin], path[begin], i - begin, words[starts[begin] : ends[i - 1]]
-                begin = i
-
-
-def cosine(words: list[str], scores: TrigramScores, language: int) -> float:
-    """Cosine of a passage with a prototype; its own length is that of a sum of nearly orthogonal trigrams."""
-    codes, n = np.unique(np.array([c for w in words for c in trigrams(w)], np.int64), return_counts=True)
-    if not len(codes):
-        return 0.0
-    return float(n @ scores.of(codes.tolist())[:, language] / np.sqrt(DIMENSIONS * (n.astype(np.float64) ** 2).sum()))
+            path = _path(summed[first:last], penalty)
+        since = first
+        for i in range(first + 1, last + 1):
+            if i == last or path[i - first] != path[since - first]:
+                found.append((number, starts[since] - begin, ends[i - 1] - starts[since], path[since - first], words[starts[since] : ends[i - 1]]))
+                since = i
+    return found
 
 
 def label_languages(label: Column) -> Column:
@@ -273,9 +285,9 @@ def find_passages(documents: DataFrame, prototypes: Prototypes, every: bool = Tr
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not p.languages:
                     continue
-                for number, first, n, k, _, words in passages(text.as_py() or "", scores, SWITCH_WORDS * p.margin):
+                for number, first, n, k, words in passages(text.as_py() or "", scores, SWITCH_WORDS * p.margin):
                     if every or n >= PASSAGE:
-                        rows.append((key, number, first, n, p.languages[k], cosine(words, scores.trigrams, k)))
+                        rows.append((key, number, first, n, p.languages[k], scores.cosine(words, k)))
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
@@ -302,13 +314,13 @@ def document_languages(documents: DataFrame, prototypes: Prototypes | None = Non
             for text in batch.column(2):
                 found: dict[int, list[str]] = {}
                 if p.languages:
-                    for _, _, n, k, _, words in passages(text.as_py() or "", scores, SWITCH_WORDS * p.margin):
+                    for _, _, n, k, words in passages(text.as_py() or "", scores, SWITCH_WORDS * p.margin):
                         if n >= PASSAGE:
                             found.setdefault(k, []).extend(words)
                 order = sorted(found, key=lambda k: (-len(found[k]), p.languages[k]))
                 held.append([p.languages[k] for k in order])
                 counts.append([len(found[k]) for k in order])
-                sure.append([cosine(found[k], scores.trigrams, k) for k in order])
+                sure.append([scores.cosine(found[k], k) for k in order])
             columns = [pa.array(c, kind) for c, kind in zip((held, counts, sure), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "named", "held", "words", "confidence"])
 

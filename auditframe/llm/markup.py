@@ -13,7 +13,7 @@ _COMMENT_LINE = re.compile(r"^[ \t]*%[^\n]*(?:\n|\Z)", re.M)
 _COMMENT = re.compile(r"(?<!\\)%[^\n]*")
 _OFF = re.compile(r"\\iffalse(?![A-Za-z]).*?(?:\\fi(?![A-Za-z])|\Z)|\\begin\{comment\}.*?(?:\\end\{comment\}|\Z)", re.S)
 _BLOCK = re.compile(r"\\begin\{(%s)\*?\}.*?(?:\\end\{\1\*?\}|\Z)" % _NO_PROSE, re.S)
-_MATH = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<!\\)\$(?:[^$\n]|\n(?![ \t]*\n))*\$", re.S)
+_MATH = re.compile(r"\$\$.*?\$\$|(?<!\\)\\\[.*?\\\]|(?<!\\)\\\(.*?\\\)|(?<!\\)\$(?:[^$\n]|\n(?![ \t]*\n))*\$", re.S)
 _HEADING = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|title|author|date)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
 _SILENT = re.compile(r"\\(?:cite[a-z]*|[a-zA-Z]*ref|label|input|include|includegraphics|bibliography|bibliographystyle|usepackage|documentclass|url|index|hspace|vspace|pagestyle)\*?(?:\[[^\]]*\])*\{[^{}]*\}")
 _EDGE = re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?|\\(?:caption|item)(?![A-Za-z])(?:\[[^\]]*\])?")
@@ -61,5 +61,7 @@ def paragraphs(text: str) -> list[str]:
     text = _EDGE.sub("\n\n", text)
     if "\\" in text:
         text = _COMMAND.sub(" ", _LETTER.sub(lambda m: _LETTERS[m.group(1)], _ACCENT.sub(_accented, text)))
-    text = _RUN.sub(_reread, text.replace("{", "").replace("}", ""))
+    text = text.replace("{", "").replace("}", "")
+    if not text.isascii():
+        text = _RUN.sub(_reread, text)
     return [p for p in _PARAGRAPH.split(text) if p and not p.isspace()]
