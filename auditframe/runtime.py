@@ -67,13 +67,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> str:
-    """Write ``df`` as a table bucketed and sorted by ``keys`` in the shared folder; the table's name."""
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str, placed: bool = False) -> str:
+    """Write ``df`` as a table bucketed and sorted by ``keys`` in the shared folder; the table's name.
+
+    ``placed`` rows lie in such buckets already and aren't shuffled.
+    """
     spark = df.sparkSession
     path = own_folder(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     (
-        df.repartition(buckets, *keys)
+        (df if placed else df.repartition(buckets, *keys))
         .write.bucketBy(buckets, *keys)
         .sortBy(*keys)
         .option("path", path)
