@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from auditframe.runtime import BROADCAST_ROWS, bucketed, written
+from auditframe.runtime import BROADCAST_ROWS, bucket_count, bucketed, spread, written
 
 #: Words that may differ for each 100 words of the longer text.
 DIFFER = 15
@@ -120,13 +121,15 @@ class History:
     """Bucketed tables of what was accepted; each batch appends one to each kind.
 
     contents: hash of size and digest to the accepted entry; texts: hash of the word sequence to
-    the accepted entry and the id of its text; tokens: by entry; segments: by signature.
+    the accepted entry and the id of its text; tokens: by entry; segments: by signature; hot: the
+    signatures that were hot in a batch, if any (others can't be in it).
     """
 
     contents: tuple[str, ...] = ()
     texts: tuple[str, ...] = ()
     tokens: tuple[str, ...] = ()
     segments: tuple[Segment, ...] = ()
+    hot: tuple[str, ...] = ()
     buckets: int = 12
 
     def table(self, spark: SparkSession, kind: str) -> DataFrame:
@@ -164,7 +167,7 @@ def _prepared(batch: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["entry_id", "content_key", "text_key", "n_words", "tokens"])
 
     rows = batch.filter("entry_id is not null and not (size <=> 0)").select(F.col("entry_id").cast("bigint"), F.col("size").cast("bigint"), F.col("sha256").cast("string"), F.col("body").cast("string"))
-    return rows.mapInArrow(prepare, "entry_id bigint, content_key binary, text_key binary, n_words int, tokens array<bigint>")
+    return spread(rows).mapInArrow(prepare, "entry_id bigint, content_key binary, text_key binary, n_words int, tokens array<bigint>")
 
 
 def _signed(texts: DataFrame) -> DataFrame:
@@ -207,19 +210,20 @@ def _group_sizes(signed: DataFrame) -> DataFrame:
     return signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter(f"m > {HOT}")
 
 
-def _candidates(lower: DataFrame, upper: DataFrame | None = None) -> DataFrame:
+def _candidates(lower: DataFrame, upper: DataFrame | None, hot: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of text ids, of which none that is near is missing.
 
-    One table of signatures is paired with itself, each pair once, or accepted ones with new ones. Signatures
-    that are hot on the lower side, if any, take a second signature as key.
+    One table of signatures is paired with itself, each pair once, or accepted ones with new ones. ``hot``
+    holds the signatures that may be hot; those that are so on the lower side take a second signature as key.
     """
     own, upper = upper is None, lower if upper is None else upper
-    hot = written(_group_sizes(lower).select("sig"), "hot")
 
     def counted(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {_needed('na', 'nb')}").select("a", "b")
 
-    if not hot.take(1):
+    if hot is not None:
+        hot = written(_group_sizes(lower.join(hot, "sig", "left_semi")).select("sig"), "hot")
+    if hot is None or not hot.take(1):
         return counted(_pairs(lower, upper, "sig", own))
     cool, warm = (lambda rows: rows.join(hot, "sig", "left_anti")), (lambda rows: _refined(rows.join(hot, "sig", "left_semi"), rows))
     refined = _pairs(warm(lower), warm(upper), "sig2", own).select("a", "b")
@@ -248,7 +252,7 @@ def _matched(nodes: DataFrame, classes: DataFrame, entries: DataFrame, signed: D
     texts = history.table(spark, "texts")
     copies = nodes.join(history.table(spark, "contents"), "content_key").select("node", F.col("accepted").alias("entry_a"))
     same = nodes.join(texts, "text_key").select("node", F.col("accepted").alias("entry_a"))
-    near = _verified(_candidates(history.signatures(spark), signed), history.table(spark, "tokens"), entries)
+    near = _verified(_candidates(history.signatures(spark), signed, history.table(spark, "hot") if history.hot else None), history.table(spark, "tokens"), entries)
     near = near.join(texts.select(F.col("text_id").alias("a"), "accepted"), "a").join(classes.select(F.col("text_id").alias("b"), "text_key"), "b")
     near = nodes.join(near.select("text_key", F.col("accepted").alias("entry_a")), "text_key").select("node", "entry_a")
     return copies.unionByName(same).unionByName(near).groupBy("node").agg(F.min("entry_a").alias("entry_a"))
@@ -272,23 +276,26 @@ def _settled(nodes: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame
     views = member.join(crowded, "grp").select("node", "grp")
     nearby = nodes.select("node", "text_key").join(seen.select(F.col("own").alias("text_key"), F.struct(F.lit(0).alias("kind"), F.col("other").alias("key")).alias("grp")), "text_key").select("node", "grp")
     views = written(views.unionByName(nearby), "views")
+    if not views.take(1):
+        return nodes.select("node", F.lit(None).cast("bigint").alias("entry_a"))
     member = written(member.join(views.select("grp").distinct(), "grp", "left_semi").select("node", "grp"), "members")
-    busy = views.select("node").distinct()
-    state = written(busy.select("node", F.lit(None).cast("bigint").alias("entry_a"), F.lit(False).alias("done")), "state")
-    while state.filter("not done").take(1):
+    state = views.select("node").distinct().select("node", F.lit(None).cast("bigint").alias("entry_a"), F.lit(False).alias("done"))
+    while True:
         standing = state.filter("entry_a is null")
         heads = member.join(standing, "node").groupBy("grp").agg(F.min(F.struct("node", "done")).alias("head"))
         sight = views.join(heads, "grp").filter("head.node < node").groupBy("node").agg(
             F.min(F.when(F.col("head.done"), F.col("head.node"))).alias("accepted"), F.max(~F.col("head.done")).alias("open")
         )
+        seen_now = state.join(sight, "node", "left")
+        settled = F.col("done") & F.col("entry_a").isNull()
         state = written(
-            state.join(sight, "node", "left").select(
-                "node",
-                F.when(F.col("done") & F.col("entry_a").isNull(), F.lit(None)).otherwise(F.coalesce("accepted", "entry_a")).alias("entry_a"),
-                (F.col("done") | F.col("accepted").isNotNull() | ~F.coalesce("open", F.lit(False))).alias("done"),
+            seen_now.select(
+                "node", F.when(~settled, F.coalesce("accepted", "entry_a")).alias("entry_a"), (F.col("done") | F.col("accepted").isNotNull() | ~F.coalesce("open", F.lit(False))).alias("done")
             ),
             "state",
         )
+        if not state.filter("not done").take(1):
+            break
     return nodes.select("node").join(state.select("node", "entry_a"), "node", "left")
 
 
@@ -311,9 +318,9 @@ def _accepted(nodes: DataFrame, settled: DataFrame, classes: DataFrame, buckets:
     return bucketed(contents, "contents", buckets, "content_key"), bucketed(texts, "texts", buckets, "text_key")
 
 
-def _parts(entries: DataFrame, signed: DataFrame) -> list[tuple[int | None, int | None]]:
+def _parts(entries: DataFrame, hot: DataFrame) -> list[tuple[int | None, int | None]]:
     """Ranges (above, up to) of entry ids, one unless a signature is hot: then each holds ``PART`` times as much as all before it."""
-    most, levels, cuts = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0, 0, []
+    most, levels, cuts = hot.agg(F.max("m")).first()[0] or 0, 0, []
     while most > HOT * PART**levels and levels < 8:
         levels += 1
     if levels:
@@ -334,8 +341,8 @@ def ingest(batch: DataFrame, history: History | None = None, keep: bool = True)
     without words equal each other. A repeated entry_id is one entry. An empty batch
     gives no rows. Other columns aren't read. Without ``keep`` no history is written.
     """
-    history = history or History()
     spark = batch.sparkSession
+    history = history or History(buckets=bucket_count(spark))
     token_table = bucketed(_prepared(batch), "tokens", history.buckets, "entry_id")
     entries = spark.table(token_table)
     keyed = entries.select("entry_id", *_KEYS, "n_words")
@@ -344,7 +351,15 @@ def ingest(batch: DataFrame, history: History | None = None, keep: bool = True)
     texts = entries.join(classes.select("text_key", "text_id"), (entries.entry_id == F.col("text_id")) & (entries.text_key == classes.text_key))
     signed_table = bucketed(_signed(texts.select("text_id", "n_words", "tokens")), "signatures", history.buckets, "sig")
     signed, known, repeats, own_texts = spark.table(signed_table), history, [], []
-    parts = _parts(keyed, signed)
+    # inside the batch only signatures matter that two of its texts have: few of all
+    sharing = signed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("m > 1").drop("m")
+    shared_table = bucketed(sharing, "shared_signatures", history.buckets, "sig", placed=True)
+    shared = spark.table(shared_table)
+    hot_table = bucketed(_group_sizes(shared), "hot_signatures", history.buckets, "sig", placed=True)
+    hot = spark.table(hot_table)
+    parts = _parts(keyed, hot)
+    # no part of a batch has a hot signature if the whole has none
+    hot, hots = (hot.select("sig"), (*history.hot, hot_table)) if hot.take(1) else (None, history.hot)
     for above, upto in parts:
         part = keyed if above is None else keyed.filter(F.col("entry_id") > above)
         part = part if upto is None else part.filter(F.col("entry_id") <= upto)
@@ -352,24 +367,25 @@ def ingest(batch: DataFrame, history: History | None = None, keep: bool = True)
         nodes = written(part.groupBy(*_KEYS, lone).agg(F.min("entry_id").alias("node")).drop("lone"), "nodes")
         fresh, matched = nodes, None
         if known.contents:
-            new_signed = signed if len(parts) == 1 else _of_texts(signed, nodes, classes)
+            all_signed = signed if history.segments else shared
+            new_signed = all_signed if len(parts) == 1 else _of_texts(all_signed, nodes, classes)
             matched = written(_matched(nodes, classes, entries, new_signed, known), "matched")
             fresh = nodes.join(matched, "node", "left_anti")
-        fresh_signed = signed if matched is None and len(parts) == 1 else _of_texts(signed, fresh, classes)
-        settled = written(_settled(fresh, classes, _verified(_candidates(fresh_signed), entries, entries)), "settled")
+        fresh_signed = shared if matched is None and len(parts) == 1 else _of_texts(shared, fresh, classes)
+        settled = written(_settled(fresh, classes, _verified(_candidates(fresh_signed, None, hot), entries, entries)), "settled")
         fates = settled if matched is None else matched.unionByName(settled)
         owners = part.join(nodes.select("node", *[F.col(c).alias(f"n_{c}") for c in _KEYS]), _same_keys())
         repeats.append(owners.join(fates, "node").select(F.coalesce("entry_a", "node").alias("entry_a"), F.col("entry_id").alias("entry_b")).filter("entry_a < entry_b").distinct())
         if keep or upto is not None:
             contents, accepted = _accepted(nodes, settled, classes, history.buckets)
             own_texts.append(accepted)
-            segments = (*history.segments, *(Segment(signed_table, name, True) for name in own_texts))
-            known = History((*known.contents, contents), (*known.texts, accepted), (*history.tokens, token_table), segments, history.buckets)
+            segments = (*history.segments, *(Segment(shared_table, name, True) for name in own_texts))
+            known = History((*known.contents, contents), (*known.texts, accepted), (*history.tokens, token_table), segments, hots, history.buckets)
     if not keep:
         return _united(repeats), history
     standing = _united([spark.table(name) for name in own_texts])
     refused = bucketed(classes.select("text_id").join(standing, "text_id", "left_anti"), "refused", history.buckets, "text_id")
-    return _united(repeats), History(known.contents, known.texts, known.tokens, (*history.segments, Segment(signed_table, refused, False)), history.buckets)
+    return _united(repeats), History(known.contents, known.texts, known.tokens, (*history.segments, Segment(signed_table, refused, False)), hots, history.buckets)
 
 
 def _of_texts(signed: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -378,10 +394,10 @@ def _of_texts(signed: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFr
     return signed.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "text_id", "left_semi")
 
 
-def replay(intake: DataFrame, buckets: int = 12) -> DataFrame:
+def replay(intake: DataFrame, buckets: int | None = None) -> DataFrame:
     """All repeats of a delivered history: the backlog as one batch, then the newest batch against what it left."""
     last = intake.agg(F.max("batch_no").alias("n")).first()["n"]
     start = intake.filter(F.col("batch_no") == F.lit(last)).agg(F.min("entry_id").alias("i")).first()["i"]
     newer = F.coalesce(F.col("entry_id") >= F.lit(start), F.lit(False))
-    backlog, history = ingest(intake.filter(~newer), History(buckets=buckets))
+    backlog, history = ingest(intake.filter(~newer), History(buckets=buckets or bucket_count(intake.sparkSession)))
     return backlog.unionByName(ingest(intake.filter(newer), history, keep=False)[0])
