@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -91,6 +92,12 @@ def small_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(kept) if kept.count() <= limit else kept
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what is written by now: it does so when both sides have collected their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan for work that costs much more than reading: shared out anew if it has fewer partitions than there are cores.
 
