@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.runtime import BROADCAST_ROWS, bucket_count, bucketed, spread, written
+from auditframe.runtime import BROADCAST_ROWS, bucket_count, bucketed, reclaim, spread, written
 
 #: Words that may differ for each 100 words of the longer text.
 DIFFER = 15
@@ -344,12 +344,15 @@ def ingest(batch: DataFrame, history: History | None = None, keep: bool = True)
     spark = batch.sparkSession
     history = history or History(buckets=bucket_count(spark))
     token_table = bucketed(_prepared(batch), "tokens", history.buckets, "entry_id")
+    reclaim(spark)
     entries = spark.table(token_table)
     keyed = entries.select("entry_id", *_KEYS, "n_words")
     classes = written(keyed.filter("text_key is not null").groupBy("text_key", "n_words").agg(F.min("entry_id").alias("text_id")), "classes")
     # a repeated entry_id may have rows with other bodies: the key tells which of them is the text
     texts = entries.join(classes.select("text_key", "text_id"), (entries.entry_id == F.col("text_id")) & (entries.text_key == classes.text_key))
     signed_table = bucketed(_signed(texts.select("text_id", "n_words", "tokens")), "signatures", history.buckets, "sig")
+    del texts
+    reclaim(spark)
     signed, known, repeats, own_texts = spark.table(signed_table), history, [], []
     # inside the batch only signatures matter that two of its texts have: few of all
     sharing = signed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("m > 1").drop("m")
