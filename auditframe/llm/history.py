@@ -264,7 +264,8 @@ def _settled(nodes: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame
     ``nodes`` are in groups (equal contents, equal texts), ``near`` pairs groups of texts. In
     each round a node with no undecided or accepted lower node in sight is accepted, and one that
     sees an accepted lower node repeats it; only a group's lowest node still standing is looked at, so no
-    group's pairs are formed. Rounds run on the few nodes that see another one.
+    group's pairs are formed. Rounds run on the few nodes that see another one. What a refused node
+    repeats is read from the final state, as a lower node may be accepted after a higher one it sees.
     """
     text_group, content_group = F.struct(F.lit(0).alias("kind"), F.col("text_key").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("content_key").alias("key"))
     member = nodes.select("node", F.explode(F.filter(F.array(F.when(F.col("text_key").isNotNull(), text_group), F.when(F.col("content_key").isNotNull(), content_group)), lambda x: x.isNotNull())).alias("grp"))
@@ -296,7 +297,9 @@ def _settled(nodes: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame
         )
         if not state.filter("not done").take(1):
             break
-    return nodes.select("node").join(state.select("node", "entry_a"), "node", "left")
+    heads = member.join(state.filter("entry_a is null"), "node").groupBy("grp").agg(F.min("node").alias("head"))
+    lowest = views.join(heads, "grp").filter("head < node").groupBy("node").agg(F.min("head").alias("entry_a"))
+    return nodes.select("node").join(lowest, "node", "left")
 
 
 _KEYS = ("content_key", "text_key")

@@ -96,6 +96,22 @@ def test_odd_entries(spark):
     assert sorted(map(tuple, H.replay(spark.createDataFrame(table, SCHEMA)).collect())) == [(1, 2)] == brute(table)
 
 
+def test_settled_by_the_final_state(spark):
+    # 4 is accepted in the last round only, when 6 holds 5 already
+    make = random.Random(4)
+    graphs = [(7, [(0, 2), (1, 3), (3, 4), (4, 6), (5, 6)]), (40, sorted({tuple(sorted(make.sample(range(40), 2))) for _ in range(60)}))]
+    for n, edges in graphs:
+        accepted, expected = [], {}
+        for node in range(n):
+            lower = [x for x in accepted if (x, node) in edges]
+            expected[node] = min(lower, default=None)
+            accepted += [] if lower else [node]
+        nodes = spark.createDataFrame([(i, bytes([i]), None) for i in range(n)], "node bigint, text_key binary, content_key binary")
+        classes = nodes.selectExpr("text_key", "node as text_id")
+        settled = H._settled(nodes, classes, spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert dict(map(tuple, settled.collect())) == expected
+
+
 def test_distance_and_signatures():
     make = random.Random(1)
     for _ in range(3000):
