@@ -12,7 +12,7 @@ from auditframe import config
 from auditframe.functions.columns import is_type
 from auditframe.operators.issues import IssueKind, first_holders
 
-#: Rows as readers give them: ``error`` ends a file; the header is the row with record 0.
+#: Rows as readers give them: ``error`` ends a file, or is of the one record if records were parsed alone; the header is the row with record 0.
 ROW_SCHEMA = "file string, record bigint, line bigint, fields array<string>, error string"
 
 KIND = IssueKind({
@@ -120,17 +120,26 @@ def checked_rows(rows: DataFrame, rules: CsvRules) -> DataFrame:
     return data.select("file", "record", "line", blank.alias("blank"), right.alias("right_width"), most.alias("most_bytes"), repeated.alias("repeated"), F.filter(issues, lambda x: x.isNotNull()).alias("issues"))
 
 
+def _parse_error() -> Column:
+    return KIND.one(F.lit(True), "csv_parse_error", 9, line=F.col("line"), message=F.col("error"))
+
+
 def csv_issues(rows: DataFrame, rules: CsvRules) -> DataFrame:
-    """All issues of all files: header faults, row faults, and the parse error that ended a file."""
+    """All issues of all files: header faults, row faults, and parse errors."""
     found = KIND.exploded(checked_rows(rows, rules), [F.col("file")], F.col("record"), F.col("issues"))
-    ended = KIND.exploded(rows.filter("error is not null"), [F.col("file")], F.col("record"), F.array(KIND.one(F.lit(True), "csv_parse_error", 9, line=F.col("line"), message=F.col("error"))))
+    ended = KIND.exploded(rows.filter("error is not null"), [F.col("file")], F.col("record"), F.array(_parse_error()))
     return header_issues(rows, rules).unionByName(found).unionByName(ended)
 
 
-def csv_summary(rows: DataFrame, rules: CsvRules) -> DataFrame:
-    """Counters of each file, all rows counted."""
+def csv_summary(rows: DataFrame, rules: CsvRules, alone: bool = False) -> DataFrame:
+    """Counters of each file, all rows counted. With ``alone`` each record was parsed alone: an error is an invalid data row and ends no file."""
     valid = (F.size("issues") == 0)
-    return checked_rows(rows, rules).groupBy("file").agg(
+    checked = checked_rows(rows, rules)
+    if alone:
+        no = F.lit(False)
+        broken = rows.filter("record > 0 and error is not null").select("file", "record", "line", no.alias("blank"), no.alias("right_width"), F.lit(None).cast("int").alias("most_bytes"), no.alias("repeated"), F.array(_parse_error()).alias("issues"))
+        checked = checked.unionByName(broken)
+    return checked.groupBy("file").agg(
         F.count(F.lit(1)).alias("data_rows"), F.count_if(valid).alias("valid_rows"), F.count_if(~valid).alias("invalid_rows"), F.count_if("blank").alias("blank_rows"),
         F.count_if("repeated").alias("duplicate_rows"), F.coalesce(F.max("most_bytes"), F.lit(0)).cast("bigint").alias("maximum_field_bytes"),
     )

@@ -148,20 +148,21 @@ _CSV = CsvRules(("id", "event"), ("id", "event"), "id", {"id": "integer", "occur
 
 
 def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of csv_lines as rows of their files, parsed once; records with broken quoting have no fields to check and are left out."""
+    """The records of csv_lines as rows of their files, parsed once; those with broken quoting have null fields and an error, which the SQL below leaves out."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, lines, fields = [], [], []
-            for name, line, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            names, lines, raws = (c.to_pylist() for c in batch.columns)
+            fields, errors = [], []
+            for line, raw in zip(lines, raws):
                 try:
                     fields.append(rejects.read_fields(rejects.without_ending(raw or "").lstrip("﻿" if line == 1 else "")))
-                except ValueError:
-                    continue
-                names.append(name)
-                lines.append(line)
+                    errors.append(None)
+                except ValueError as error:
+                    fields.append(None)
+                    errors.append(str(error))
             records = pa.array(lines, pa.int64())
-            columns = [pa.array(names, pa.string()), pa.array([x - 1 for x in lines], pa.int64()), records, pa.array(fields, pa.list_(pa.string())), pa.nulls(len(lines), pa.string())]
+            columns = [pa.array(names, pa.string()), pa.array([x - 1 for x in lines], pa.int64()), records, pa.array(fields, pa.list_(pa.string())), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["file", "record", "line", "fields", "error"])
 
     raw = spread(_table(spark, sf_dir, "csv_lines").select("file_name", "line_no", "raw_line"))
@@ -203,7 +204,7 @@ select d.file, count(*) as data_rows, count(*) filter (bad.line is null) as vali
 from data d left join bad on bad.file = d.file and bad.line = d.line left join rep on rep.file = d.file and rep.line = d.line group by d.file"""
 )
 def csv_summary(spark, sf_dir):
-    return csvrules.csv_summary(_csv_rows(spark, sf_dir), _CSV)
+    return csvrules.csv_summary(_csv_rows(spark, sf_dir), _CSV, alone=True)
 
 
 @_query()

@@ -64,6 +64,16 @@ def test_many_csv_files(spark, tmp_path):
     assert len(first) == 4 and {r["issue_no"] for r in first} == {1}
 
 
+def test_records_with_broken_quoting(spark, tmp_path):
+    from auditframe.plans import audits
+
+    lines = ["id,occurred_on,event,duration_ms,success", "1,2031-01-01,x,1,true", '2,"2031-01-01,x,1,true', "1,2031-01-01,x,1,true", '"a"b,,x,,']
+    table = [("a", i, raw) for i, raw in enumerate(lines, 1)] + [("b", 1, lines[0]), ("b", 2, '"open')]
+    spark.createDataFrame(table, "file_name string, line_no int, raw_line string").write.parquet(str(tmp_path / "csv_lines.parquet"))
+    assert sorted((r["file"], r["line"], r["code"]) for r in audits.csv_issues(spark, str(tmp_path)).collect()) == [("a", 3, "csv_parse_error"), ("a", 4, "duplicate_unique_value"), ("a", 5, "csv_parse_error"), ("b", 2, "csv_parse_error")]
+    assert sorted(map(tuple, audits.csv_summary(spark, str(tmp_path)).collect())) == [("a", 4, 1, 3, 0, 1, 10), ("b", 1, 0, 1, 0, 0, 0)]
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "path string, size bigint, sha256 string, change string, idx bigint")
     assert manifest.difference_summary(empty, empty).first().asDict() == {"added": 0, "removed": 0, "modified": 0, "unchanged": 0}
