@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from auditframe.runtime import spread
 
-#: Fixed masks, 1 where a token counts: each spans 8 tokens and ignores three of them.
-MASKS = ("11101001", "11010011")
+#: Fixed masks, 1 where a token counts: each spans 8 tokens and ignores three of them. Whichever two of 12 tokens
+#: are replaced, a window of one of them is left whole (``bridged``).
+MASKS = ("11101001", "10100111")
 
 #: Items are searched in blocks of at most this many characters, the bound of what is broadcast.
 BLOCK_CHARS = 16_000_000
@@ -30,6 +31,18 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def bridged(masks: Sequence[str], min_words: int, substitutions: int) -> bool:
+    """Whether every stretch of so many words with at most so many replaced, wherever they are, keeps a whole window of a mask."""
+    span = max(map(len, masks))
+    windows = [frozenset(s + i for i, c in enumerate(mask) if c == "1") for mask in masks for s in range(min_words - span + 1)]
+
+    def kept(windows: list[frozenset[int]], left: int) -> bool:
+        # a replaced word of the first window has to be one of its own, so only these are tried
+        return bool(windows) and (not left or all(kept([w for w in windows if at not in w], left - 1) for at in windows[0]))
+
+    return kept(windows, substitutions)
+
+
 class SeedIndex:
     """Masked hashes of every window of the items, ready to be probed by whole batches of texts."""
 
@@ -94,14 +107,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, subs
 
     ``overlap_words`` is the longest aligned stretch, of at least ``min_words`` words, with at most
     ``substitutions`` words replaced; ``exact_words`` the longest without any difference. Every
-    text is read whole, at every position. Any run of a mask's span in common gives a hit, so no exact
-    passage of ``min_words`` (at least the span) is missed. Items are broadcast in blocks of
+    text is read whole, at every position. The masks must give a hit in every such stretch, whichever words
+    are replaced, so that none is missed; settings for which they don't are refused. Items are broadcast in blocks of
     ``BLOCK_CHARS``, each searched over all documents; documents aren't shuffled. Texts that are
     null, empty or too short give no row. Items with equal texts are reported each. Repeated
     rows of a document or item give one row; columns not named aren't read.
     """
     if min_words < max(map(len, masks)):
         raise ValueError("min_words must be at least the span of the masks")
+    if not bridged(masks, min_words, substitutions):
+        raise ValueError("the masks miss some stretches of min_words with so many substitutions")
     spark = documents.sparkSession
     own = items.select("item_id", "text").dropna().distinct()
     size = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]

@@ -1,5 +1,6 @@
 """Leaked passages, against all windows of twelve words."""
 
+import itertools
 import random
 
 import pytest
@@ -53,3 +54,49 @@ def test_substitutions_are_bridged(spark):
     assert row["overlap_words"] == 40
     with pytest.raises(ValueError):
         leaks.find_leaks(spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS), min_words=5)
+
+
+def brute_overlaps(texts, items):
+    """(doc, item, longest stretch with two words replaced, longest exact one), over every diagonal."""
+    out = {}
+    for d, t in texts:
+        for i, u in items:
+            a, b = leaks.words(t), leaks.words(u)
+            for diagonal in range(1 - len(b), len(a)):
+                same = [a[k + diagonal] == b[k] for k in range(len(b)) if 0 <= k + diagonal < len(a)]
+                most = lambda n: max(y - x for x in range(len(same)) for y in range(x, len(same) + 1) if same[x:y].count(False) <= n)  # noqa: B023, E731
+                if len(same) >= 12 and (near := most(2)) >= 12:
+                    old = out.get((d, i), (0, 0))
+                    out[d, i] = (max(old[0], near), max(old[1], most(0)))
+    return sorted((*key, *lengths) for key, lengths in out.items())
+
+
+def test_every_two_substitutions_are_bridged(spark):
+    item = [f"t{i}" for i in range(12)]
+    texts = [(k, " ".join(["y"] * 5 + ["x" if i in pair else w for i, w in enumerate(item)] + ["z"] * 5)) for k, pair in enumerate(itertools.combinations(range(12), 2))]
+    got = {r["doc_id"]: r["overlap_words"] for r in found(spark, texts, [(1, " ".join(item))])}
+    assert got == dict.fromkeys(range(66), 12)
+    for n, replaced in ((12, 3), (8, 1), (20, 5)):
+        with pytest.raises(ValueError):
+            leaks.find_leaks(spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS), n, replaced)
+    for masks in (leaks.MASKS, ("11101001", "11010011"), ("1111", "110011")):
+        span = max(map(len, masks))
+        windows = [[s + i for i, c in enumerate(m) if c == "1"] for m in masks for s in range(12 - span + 1)]
+        for k in range(5):
+            assert leaks.bridged(masks, 12, k) == all(any(not set(w) & set(p) for w in windows) for p in itertools.combinations(range(12), k))
+
+
+def test_overlaps_against_all_diagonals(spark):
+    make = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(make.choice(words) for _ in range(make.choice([11, 12, 13, 20, 30])))) for i in range(10)]
+    texts = []
+    for d in range(60):
+        passage = leaks.words(make.choice(items)[1])
+        for _ in range(make.choice([0, 1, 2, 2, 3])):
+            passage[make.randrange(len(passage))] = make.choice([*words, "other"])
+        body = [make.choice([*words, "other"]) for _ in range(make.choice([0, 5, 25]))]
+        k = make.randrange(len(body) + 1)
+        texts.append((d, " ".join(body[:k] + passage + body[k:])))
+    got = sorted(tuple(r[c] for c in ("doc_id", "item_id", "overlap_words", "exact_words")) for r in found(spark, texts, items))
+    assert got == brute_overlaps(texts, items) and {r[2] for r in got} >= {12, 13, 20, 30}
