@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.runtime import bucket_count, bucketed, small_side
+from auditframe.runtime import bucket_count, bucketed, own_folder, small_side, written
 
 _KEY = ("root_name", "path")
 
@@ -116,22 +117,53 @@ def next_index(batch: DataFrame, index: SnapshotIndex | None = None) -> Snapshot
 
 
 def changed_values(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Old and new size and digest, fetched for the changed paths only."""
+    """Old and new size and digest, fetched for the changed paths only; either side holds one snapshot of a root, and of a repeated path the same row as above."""
     some = changes.filter("change_kind = 'changed'").select("root_name", "snapshot_no", "path")
 
     def values(rows: DataFrame, side: str) -> DataFrame:
-        by = Window.partitionBy(*_KEY).orderBy(F.col("recorded_at").desc_nulls_last())
+        parts = [x for c in ("size", "sha256") for x in (F.col(c).isNull(), F.col(c))]
+        by = Window.partitionBy(*_KEY).orderBy(F.col("recorded_at").desc_nulls_last(), F.xxhash64(*parts).desc())
         wanted = rows.join(some.select(*_KEY), list(_KEY), "left_semi")
         return wanted.withColumn("n", F.row_number().over(by)).filter("n = 1").select(*_KEY, F.struct("size", "sha256").alias(side))
 
     return some.join(values(before, "old_value"), list(_KEY)).join(values(after, "new_value"), list(_KEY))
 
 
+def _dealt(snapshots: DataFrame) -> list[DataFrame]:
+    """The history as deliveries: the first snapshot of every root, the second, and so on, each in its own folder."""
+    rows = snapshots.select(*_KEY, "snapshot_no", "recorded_at", "size", "sha256").dropna(subset=["root_name", "snapshot_no", "path"])
+    numbers = rows.select(F.col("root_name").alias("r"), F.col("snapshot_no").alias("no")).distinct()
+    turns = small_side(numbers.withColumn("turn", F.row_number().over(Window.partitionBy("r").orderBy("no"))), "turns")
+    most = turns.agg(F.max("turn")).first()[0] or 0
+    path = own_folder(rows.sparkSession, "deliveries")
+    rows.join(turns, (F.col("root_name") == F.col("r")) & (F.col("snapshot_no") == F.col("no"))).drop("r", "no").write.partitionBy("turn").parquet(path)
+    return [rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/turn={turn}") for turn in range(1, most + 1)]
+
+
+def _replayed(snapshots: DataFrame) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(changes, before, after) of each delivery: it is probed against the index, and the index is then swapped for the next."""
+    index, before = None, None
+    for batch in _dealt(snapshots):
+        if index is not None:
+            rows = hashed_rows(batch)
+            yield written(_against_index(rows, small_side(_calendar(rows), "calendar"), index), "changes"), before, batch
+        old, index, before = index, next_index(batch, index), batch
+        if old is not None:
+            old.drop(batch.sparkSession)
+
+
 def replay(snapshots: DataFrame) -> DataFrame:
-    """All changes of a delivered history: the backlog as one batch, then each root's last snapshot against the swapped index."""
-    last = snapshots.groupBy(F.col("root_name").alias("r")).agg(F.max("snapshot_no").alias("last_no"))
-    last = small_side(last, "newest")
-    split = snapshots.join(last, F.col("root_name") == F.col("r"))
-    backlog, newest = split.filter("snapshot_no < last_no").drop("r", "last_no"), split.filter("snapshot_no = last_no").drop("r", "last_no")
-    index = next_index(backlog)
-    return snapshot_changes(backlog).unionByName(snapshot_changes(newest, index))
+    """All changes of a delivered history, delivery by delivery against the swapped index."""
+    found = snapshots.sparkSession.createDataFrame([], "root_name string, snapshot_no int, path string, change_kind string")
+    for changes, _, _ in _replayed(snapshots):
+        found = found.unionByName(changes)
+    return found
+
+
+def replay_values(snapshots: DataFrame) -> DataFrame:
+    """``(root_name, snapshot_no, path, old_size, old_sha256, new_size, new_sha256)`` of all changed paths of a delivered history."""
+    values = "root_name", "snapshot_no", "path", *(F.col(f"{side}_value.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in ("size", "sha256"))
+    found = snapshots.sparkSession.createDataFrame([], "root_name string, snapshot_no int, path string, old_size bigint, old_sha256 string, new_size bigint, new_sha256 string")
+    for changes, before, after in _replayed(snapshots):
+        found = found.unionByName(written(changed_values(changes, before, after).select(*values), "values"))
+    return found

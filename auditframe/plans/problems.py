@@ -24,6 +24,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.replay(_table(spark, sf_dir, "snapshots"))
 
 
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old and new values of p3_found's changed paths."""
+    return snapshots.replay_values(_table(spark, sf_dir, "snapshots"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _table(spark, sf_dir, "inventory_primary"), _table(spark, sf_dir, "inventory_replica")
     return copies.compare_copies(left, right, ["vol_name", "path"], {"size": "size", "sha256": "lower(sha256)"}, "seen_at", ("primary", "replica"))
@@ -39,7 +44,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"dominant_masks": F.array_join("dominant_masks", "|"), "rare_share": F.round("rare_share", 6), "mask_shift": F.round("mask_shift", 6)})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p3_found, p4_found, p5_found, p5_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_events, p3_found, p3_values, p4_found, p5_found, p5_profile)}
 
 _FIELD = r'("(?:[^"]|"")*"|(?:[^",][^,]*)?)'
 _P1 = rf"""
@@ -141,8 +146,10 @@ ORACLE["p5_profile"] = (
     + rf"""), j as (
   select *, case when field_name = 'occurred_on' and regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and value[1:4] <> '0000' then cast(datediff('day', date '1970-01-01', try_cast(value as date)) as double)
     when field_name = 'duration_ms' and {_NUMBER} and isfinite(try_cast(regexp_replace(value, '[ 	
-]', '', 'g') as double)) then try_cast(regexp_replace(value, '[ 	
-]', '', 'g') as double) end as number,
+
+]', '', 'g') as double)) then try_cast(regexp_replace(value, '[ 	
+
+]', '', 'g') as double) end as number,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[0-9]', '9', 'g'), '\p{{Lu}}', 'A', 'g'), '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]', 'a', 'g'), '99+', '9+', 'g'), 'aa+', 'a+', 'g'), 'AA+', 'A+', 'g') as mask from v
 ), s as (
   select feed, load_no, field_name, count(*) as rows, count(*) - count(value) as nulls, count(distinct value) as distinct_values, min(value) as least_value, max(value) as greatest_value, min(number) as least_number, max(number) as greatest_number,

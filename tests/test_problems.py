@@ -99,6 +99,18 @@ def test_snapshots_one_by_one(spark):
     assert sorted(found, key=repr) == brute_changes(table)
 
 
+def test_replay_swaps_the_index_for_each_delivery(spark, monkeypatch):
+    table, swaps, own = random_snapshots(4), [], snapshots.next_index
+    monkeypatch.setattr(snapshots, "next_index", lambda batch, index=None: swaps.append(index) or own(batch, index))
+    df = spark.createDataFrame(table, SNAPSHOT)
+    assert rows(snapshots.replay(df)) == brute_changes(table)
+    assert len(swaps) == 5 and swaps[0] is None and len({index.table for index in swaps[1:]}) == 4
+    held = {(root, no, path): (size, digest) for root, no, _, path, size, digest, _ in table}
+    before = {(root, no): old for root in {r for r, *_ in table} for old, no in zip((1, 2, 4, 5), (2, 4, 5, 9))}
+    expected = [(r, no, p, *held[r, before[r, no], p], *held[r, no, p]) for r, no, p, kind in brute_changes(table) if kind == "changed"]
+    assert rows(snapshots.replay_values(df)) == sorted(expected, key=repr)
+
+
 def test_snapshots_odd_tables(spark):
     at = datetime(2031, 1, 1)
     assert rows(snapshots.replay(spark.createDataFrame([], SNAPSHOT))) == []
