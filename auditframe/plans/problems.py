@@ -44,7 +44,12 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"dominant_masks": F.array_join("dominant_masks", "|"), "rare_share": F.round("rare_share", 6), "mask_shift": F.round("mask_shift", 6)})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p3_found, p3_values, p4_found, p5_found, p5_profile)}
+def p5_rare_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks that p5_profile's rare_share is made of, and those of single values in small loads."""
+    return profile.rare_masks(_table(spark, sf_dir, "event_log"), ["feed", "load_no"], ["occurred_on", "event", "duration_ms", "success", "status"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_events, p3_found, p3_values, p4_found, p5_found, p5_profile, p5_rare_masks)}
 
 _FIELD = r'("(?:[^"]|"")*"|(?:[^",][^,]*)?)'
 _P1 = rf"""

@@ -181,3 +181,8 @@ def test_profile_with_masks(spark):
     assert first["dominant_masks"] == ["9+-9+-9+"] and first["off_form"] == 1 and abs(first["rare_share"] - 0.005) < 1e-9 and first["mask_shift"] is None
     assert second["dominant_masks"] == ["9+-9+-9+", "9+/9+/9+"] and abs(second["mask_shift"] - 0.495) < 1e-9
     assert got[1, "status"]["dominant_masks"] == ["Aa+", "a+"] and got[2, "status"]["nulls"] == 200 and got[2, "status"]["dominant_masks"] is None
+
+
+def test_rare_masks(spark):
+    table = load("f", 1, ["2031-01-01"] * 199 + ["01/02/2031"], ["1.5"] * 200, ["ok"] * 197 + ["Bad"] * 2 + [None]) + load("f", 2, ["2031-01-01"] * 19 + ["x"], ["1.5"] * 20, ["ok"] * 18 + ["Bad"] * 2) + load("f", 3, ["x"], ["1"], [None])
+    assert rows(profile.rare_masks(spark.createDataFrame(table, LOG), ["feed", "load_no"], ["occurred_on", "duration_ms", "status"])) == [("f", 1, "occurred_on", "9+/9+/9+", 1), ("f", 2, "occurred_on", "a", 1)]
