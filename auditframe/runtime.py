@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -13,15 +12,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side table may be broadcast. It bounds what reaches an executor.
+#: Bytes in memory up to which a side table may be broadcast: measured, it bounds what reaches an executor.
+BROADCAST_BYTES = 8 << 20
+
+
 BROADCAST_ROWS = 200_000
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Nothing any more."""
+
+
 #: Folders written by this driver, removed when it ends; ``released`` removes them earlier.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_folder(spark: SparkSession, path: str) -> None:
     local = path.removeprefix("file://")
     if local.startswith("/"):
         shutil.rmtree(local, ignore_errors=True)
@@ -37,7 +43,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def released() -> None:
     """Remove all intermediate tables; results not yet read from them can't be read any more."""
     while _WRITTEN:
-        _remove(*_WRITTEN.pop())
+        remove_folder(*_WRITTEN.pop())
 
 
 def own_folder(spark: SparkSession, name: str) -> str:
@@ -55,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="auditframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -69,33 +77,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, *keys: str, placed: bool = False) -> str:
-    """Write ``df`` as a table bucketed and sorted by ``keys`` in the shared folder; the table's name.
+    """Write ``df`` as a table bucketed by ``keys`` in the shared folder; the table's name.
 
     ``placed`` rows lie in such buckets already and aren't shuffled.
     """
-    spark = df.sparkSession
-    path = own_folder(spark, name)
+    path = own_folder(df.sparkSession, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    (
-        (df if placed else df.repartition(buckets, *keys))
-        .write.bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .option("path", path)
-        .saveAsTable(table)
-    )
+    add_to_table(df if placed else df.repartition(buckets, *keys), table, buckets, *keys, path=path)
     return table
 
 
-def small_side(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` written out, with a broadcast hint if it has at most ``limit`` rows; else left to sort-merge."""
+def add_to_table(placed: DataFrame, table: str, buckets: int, *keys: str, path: str | None = None) -> None:
+    """Append rows that lie in the table's buckets already. Keys and ids are hashes mostly, for which dictionaries are wasted work."""
+    writer = placed.write.mode("append").format("parquet").option("parquet.enable.dictionary", "false").bucketBy(buckets, *keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes that the rows take in memory, about: 8 for a fixed value, and the length of each string, binary and array."""
+    size = F.lit(16)
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        size = size + (F.coalesce(F.octet_length(column), F.lit(0)) + 16 if kind in ("string", "binary") else F.greatest(F.size(column), F.lit(0)) * 8 + 32 if kind == "array" else F.lit(8))
+    return df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table that is written already may be broadcast."""
+    return memory_bytes(df) <= limit
+
+
+def small_side(df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written out, with a broadcast hint if it takes at most ``limit`` bytes; else left to sort-merge."""
     kept = written(df, name)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    return F.broadcast(kept) if small(kept, limit) else kept
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of what is written by now: it does so when both sides have collected their garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def semi(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of ``df`` whose key is among the written ``ids``: where they lie if the ids can be broadcast, else by a shuffle."""
+    return df.join(F.broadcast(ids) if small(ids, limit) else ids, key, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Rows of ``df`` whose key isn't among the written ``ids``, and whether they lie where they lay."""
+    stays = small(ids, limit)
+    return df.join(F.broadcast(ids) if stays else ids, key, "left_anti"), stays
 
 
 def spread(df: DataFrame) -> DataFrame:
