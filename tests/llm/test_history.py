@@ -1,6 +1,9 @@
 """Repeats of accepted entries, against the sequential definition."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -63,24 +66,105 @@ def made(seed, n=220, words=40):
     return table
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_replay_and_batches(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, hot, boilerplate", [(0, H.HOT, H.BOILERPLATE), (1, 3, 4)])
+def test_replay(spark, seed, hot, boilerplate, monkeypatch):
+    # hot signatures: parts of growing size, then refined pairs; boilerplate: last in the order
+    monkeypatch.setattr(H, "HOT", hot)
+    monkeypatch.setattr(H, "BOILERPLATE", boilerplate)
     table = made(seed)
-    df = spark.createDataFrame(table, SCHEMA)
-    expected = brute(table)
-    assert sorted(map(tuple, H.replay(df, buckets=3).collect())) == expected
-    # hot signatures: parts of growing size, then refined pairs
+    assert sorted(map(tuple, H.replay(spark.createDataFrame(table, SCHEMA), buckets=3).collect())) == brute(table)
+
+
+def scans(plan):
+    """Operators above each scan of the history's tables, up to the join."""
+    lines, found = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "FileScan" in line and "accepted_" in line:
+            depth, above = line.index("FileScan"), []
+            for upper in reversed(lines[:i]):
+                at = len(upper) - len(upper.lstrip(" :+-*()0123456789"))
+                if at < depth:
+                    above.append(upper[at:].split()[0])
+                    depth = at
+                    if "Join" in above[-1]:
+                        break
+            found.append(above)
+    return found
+
+
+ONE_BATCH = """
+import sys
+from pyspark.sql import SparkSession
+from auditframe.llm import history as H
+H.BOILERPLATE, H.HOT = 4, 3
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", sys.argv[1] + "/other").getOrCreate()
+batches = spark.read.parquet(sys.argv[1] + "/batches")
+known = H.History.create(spark, sys.argv[1] + "/history", 3)
+for no in (0, 1):
+    repeats, known = H.ingest(batches.filter(f"batch_no = {no}"), known)
+    repeats.write.parquet(sys.argv[1] + f"/repeats{no}")
+"""
+
+
+def test_history_outlives_its_session(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "BOILERPLATE", 4)
     monkeypatch.setattr(H, "HOT", 3)
-    assert sorted(map(tuple, H.replay(df, buckets=3).collect())) == expected
-
-
-def test_batch_by_batch(spark):
-    table = made(7, 120)
+    table = [(*row[:1], i // 40, *row[2:]) for i, row in enumerate(made(7, 200))]
+    df = spark.createDataFrame(table, SCHEMA)
+    df.write.parquet(str(tmp_path / "batches"))
+    subprocess.run([sys.executable, "-c", ONE_BATCH, str(tmp_path)], check=True, env=os.environ | {"PYSPARK_SUBMIT_ARGS": "pyspark-shell"})
+    found = [tuple(r) for no in (0, 1) for r in spark.read.parquet(str(tmp_path / f"repeats{no}")).collect()]
+    known = H.History.open(spark, str(tmp_path / "history"))
+    # an append that never was finished is not read
+    known._log(spark, 3, False)
+    spark.range(3).selectExpr("id as sig", "id as text_id", "9 as n_words", "3 as ingest").repartition(3, "sig").transform(lambda rows: H.add_to_table(rows, known.table(spark, "signatures"), 3, "sig") or rows)
+    old = known
+    for no in (2, 3, 4):
+        if no == 4:
+            known = known.compacted(spark, 2)
+        repeats, known = H.ingest(df.filter(f"batch_no = {no}"), known)
+        found += map(tuple, repeats.collect())
+    assert sorted(found) == brute(table)
+    with pytest.raises(ValueError):
+        H.ingest(df.filter("batch_no = 3"), old)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kind, (columns, key) in H.KINDS.items():
+            keys = known.rows(spark, kind).select(key).distinct()
+            plan = known.probe(spark, kind, keys)._jdf.queryExecution().executedPlan().toString()
+            probed = scans(plan.split("== Initial Plan ==")[-1])[0]
+            assert "Join" in probed[-1] and not any("Exchange" in x or "Sort" == x for x in probed), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_common_notice(spark, monkeypatch):
+    monkeypatch.setattr(H, "HOT", 6)
+    monkeypatch.setattr(H, "BOILERPLATE", 12)
+    make, pairs = random.Random(3), []
+    notice = [f"noticeofunusualwords{i}" for i in range(40)]
+    monkeypatch.setattr(H, "_verified", lambda p, lower, upper, of=H._verified: pairs.append(p.count()) or of(p, lower, upper))
+    table = []
+    for i in range(240):
+        text = [f"{make.choice('abcdefgh') * 5}{make.randrange(10_000)}" for _ in range(110)]
+        if i % 40 == 39:
+            text = list(table[i // 2][4].split()[40:])
+            text[7] = "changed"
+        table.append((i, i // 80, 1, None, " ".join([*notice, *text]), "", ""))
+    expected, accepted = [], []
+    for entry, _, _, _, body, *_ in table:
+        words = body.split()
+        found = [o for o, w in accepted if H.word_distance(words, w, H.allowed(150)) <= H.allowed(150)]
+        expected += [(min(found), entry)] if found else []
+        accepted += [] if found else [(entry, words)]
     found, known = [], None
     for no in range(3):
         repeats, known = H.ingest(spark.createDataFrame([r for r in table if r[1] == no], SCHEMA), known)
         found += map(tuple, repeats.collect())
-    assert sorted(found) == brute(table)
+    assert sorted(found) == sorted(expected) and len(found) == 6
+    # texts that share the notice alone are not even compared
+    assert sum(pairs) < 60
 
 
 def test_odd_entries(spark):
