@@ -16,13 +16,6 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
-BROADCAST_ROWS = 200_000
-
-
-def reclaim(spark: SparkSession) -> None:
-    """Nothing any more."""
-
-
 #: Folders written by this driver, removed when it ends; ``released`` removes them earlier.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
