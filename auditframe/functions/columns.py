@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,19 +95,25 @@ def is_type(value: Column, kind: str) -> Column:
     if kind == "date":
         shaped = value.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & (F.substring(value, 1, 4) != "0000")
         return F.coalesce(shaped & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), F.lit(False))
-    plain = value.rlike(_NUMBER) & (F.abs(F.regexp_replace(value, r"[_\s]", "").try_cast("double")) < float("inf"))
-    ascii_only = value.rlike(r"\A[\x00-\x7f]*\z")
-    from auditframe.functions.python import is_python_number
+    digits, blanks = unicode_digits()
+    plain = F.when(is_ascii(value), value).otherwise(F.translate(value, digits + blanks, "0123456789" * (len(digits) // 10) + " " * len(blanks)))
+    return F.coalesce(plain.rlike(_NUMBER) & (F.abs(F.regexp_replace(plain, r"[_\s]", "").try_cast("double")) < float("inf")), F.lit(False))
 
-    # digits and blanks beyond ASCII are rare: only those values leave the JVM's expressions
-    return F.when(ascii_only, F.coalesce(plain, F.lit(False))).otherwise(is_python_number(F.when(~ascii_only, value)))
+
+def is_ascii(value: Column) -> Column:
+    return value.rlike(r"\A[\x00-\x7f]*\z")
+
+
+@cache
+def unicode_digits() -> tuple[str, str]:
+    """All decimal digits beyond ASCII, in runs from 0 to 9, and all blanks, as numbers may have them outside ASCII texts."""
+    signs = [chr(c) for c in range(128, 0x20000)]
+    zeros = [ord(c) for c in signs if unicodedata.decimal(c, None) == 0]
+    runs = "".join(chr(zero + i) for zero in zeros for i in range(10))
+    return runs, "".join(chr(c) for c in range(28, 0x3001) if chr(c).isspace())
 
 
 def one_byte_chars(content: Column) -> Column:
     """Bytes as characters, one each, so that string functions count bytes."""
     return F.decode(content, "ISO-8859-1")
 
-
-def issue_list(*checks: Column) -> Column:
-    """The non-null of several issue structs, as an array in the order given."""
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())

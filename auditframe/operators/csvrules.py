@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditframe import config
 from auditframe.functions.columns import is_type
-from auditframe.operators.issues import IssueKind, first_holders
+from auditframe.operators.issues import IssueKind, with_first_holders
 
 #: Rows as readers give them: ``error`` ends a file, or is of the one record if records were parsed alone; the header is the row with record 0.
 ROW_SCHEMA = "file string, record bigint, line bigint, fields array<string>, error string"
@@ -87,14 +87,13 @@ def checked_rows(rows: DataFrame, rules: CsvRules) -> DataFrame:
     """Data rows ``(file, record, line, blank, right_width, most_bytes, repeated, issues)``, all rules in one pass.
 
     Only uniqueness shuffles: values that occur more than once in a file, with their first line,
-    are found by a pre-aggregated group-by and joined back.
+    are found by a pre-aggregated group-by and joined back, by broadcast if few.
     """
     data = with_headers(rows)
     right = F.size("fields") == F.size("header")
     if rules.unique:
         data = data.withColumn("unique_value", F.when(right, _value(rules.unique)))
-        firsts = first_holders(data.filter("unique_value is not null"), ["file", "unique_value"], "line")
-        data = data.join(firsts, ["file", "unique_value"], "left")
+        data = with_first_holders(data, ["file", "unique_value"], "line")
     else:
         data = data.withColumn("first_line", F.lit(None).cast("bigint"))
     blank = F.size("fields") == 0

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditframe.runtime import small, written
+
 #: Position columns of every issue: they replace the order in which a single pass would append.
 ORDER = ("pos", "rule_ord", "sub_ord")
 
@@ -44,3 +46,16 @@ def reported(issues: DataFrame, max_errors: int, *keys: str) -> DataFrame:
 def first_holders(rows: DataFrame, keys: list[str], line: str, *more: str) -> DataFrame:
     """``(keys..., first_line)`` of values that occur more than once: pre-aggregated, so a frequent value doesn't skew."""
     return rows.groupBy(*keys).agg(F.min(line).alias("first_line"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+
+
+def with_first_holders(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """``rows`` with ``first_line``, null where the value (the last key) is null or occurs once.
+
+    The repeated values are broadcast if they take few bytes; else rows without a value go round the join, so that
+    they don't meet in one task, and a frequent value's rows are split by the adaptive join.
+    """
+    known = F.col(keys[-1]).isNotNull()
+    firsts = written(first_holders(rows.filter(known), keys, line), "first-holders")
+    if small(firsts):
+        return rows.join(F.broadcast(firsts), keys, "left")
+    return rows.filter(known).join(firsts, keys, "left").unionByName(rows.filter(~known).withColumn("first_line", F.lit(None).cast("bigint")))

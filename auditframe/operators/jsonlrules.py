@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from auditframe import config
 from auditframe.functions.columns import is_blank
 from auditframe.functions.python import strict_json
-from auditframe.operators.issues import IssueKind, first_holders
+from auditframe.operators.issues import IssueKind, with_first_holders
+from auditframe.runtime import written
 
 KIND = IssueKind({
     "line": "bigint", "actual_bytes": "bigint", "maximum_bytes": "bigint", "key": "string", "constant": "string", "column": "int",
@@ -48,9 +49,7 @@ def checked_lines(lines: DataFrame, rules: JsonlRules) -> DataFrame:
     blank = is_blank(content)
     parsed = lines.select("file", "line", blank.alias("blank"), F.octet_length(content).alias("bytes"), strict_json(rules.unique)(F.when(~blank, content)).alias("j"))
     if rules.unique:
-        parsed = parsed.withColumn("unique_key", F.col("j.unique_key"))
-        firsts = first_holders(parsed.filter("unique_key is not null"), ["file", "unique_key"], "line")
-        parsed = parsed.join(firsts, ["file", "unique_key"], "left")
+        parsed = with_first_holders(written(parsed.withColumn("unique_key", F.col("j.unique_key")), "json-lines"), ["file", "unique_key"], "line")
     else:
         parsed = parsed.withColumn("first_line", F.lit(None).cast("bigint"))
     line, code, keys = F.col("line"), F.coalesce(F.col("j.code"), F.lit("")), F.col("j.keys")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from auditframe.config import Policy, natural
 from auditframe.functions.columns import has_component, matches_any_glob, matches_glob, normal_path, sha256_digest
+from auditframe.runtime import written
 
 #: Names that an inventory leaves out by default, wherever they occur in a path.
 EXCLUDED_NAMES = (".git", "__pycache__")
@@ -31,6 +32,11 @@ def in_component_order(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.split("path", "/"))
 
 
+def component_ranks(entries: DataFrame, within: str) -> DataFrame:
+    """``(within, path, place)``: each path's place in that order among those of its group, from 1."""
+    return entries.select(within, "path", F.row_number().over(Window.partitionBy(within).orderBy(F.split("path", "/"))).alias("place"))
+
+
 def faults(entries: DataFrame, index: str = "idx") -> DataFrame:
     """``(idx, fault)``: the first fault of each entry that has one, in the order path, form, repeat, size, digest.
 
@@ -84,7 +90,7 @@ def duplicate_groups(entries: DataFrame, min_size: int = 1) -> DataFrame:
 
 def duplicate_files(entries: DataFrame, min_size: int = 1) -> DataFrame:
     """The duplicate groups with a row for each of their paths: a group is never collected, however many files it has."""
-    kept = entries.filter(F.col("size") >= min_size)
+    entries = kept = written(entries.filter(F.col("size") >= min_size).select("path", "size", "sha256"), "hashed")  # contents are hashed once
     return kept.join(duplicate_groups(entries, min_size), ["size", "sha256"]).select("sha256", "size", "files", "reclaimable_bytes", "path")
 
 

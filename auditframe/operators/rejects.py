@@ -133,9 +133,13 @@ def parse_events(records: DataFrame, key: str = "line_id", text: str = "raw_line
     event = pa.struct([("id", pa.string()), ("occurred_on", pa.date32()), ("event", pa.string()), ("duration_ms", pa.float64()), ("success", pa.bool_())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(sys.maxsize)
         for batch in batches:
-            judged = [judge(x) for x in batch.column(1).to_pylist()]
+            # the limit is the whole process's, which other readers use too
+            usual = csv.field_size_limit(sys.maxsize)
+            try:
+                judged = [judge(x) for x in batch.column(1).to_pylist()]
+            finally:
+                csv.field_size_limit(usual)
             columns = [batch.column(0), pa.array([e for e, _ in judged], event), pa.array([r for _, r in judged], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "record", "reasons"])
 

@@ -51,8 +51,8 @@ def measured(files: DataFrame) -> DataFrame:
 def text_issues(files: DataFrame, rules: TextRules) -> DataFrame:
     """All issues of files ``(file, content)``; content that isn't UTF-8 alone goes through Python, for the offset."""
     rows = measured(files)
-    bad = ~F.is_valid_utf8(F.col("content").cast("string"))
-    rows = rows.withColumn("bad_at", F.when(bad, first_bad_utf8(F.when(bad, F.col("content")))))
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    rows = rows.filter(good).withColumn("bad_at", F.lit(None).cast("bigint")).unionByName(rows.filter(~good).withColumn("bad_at", first_bad_utf8("content")))
     whole = F.array(
         KIND.one(F.col("has_utf8_bom") & F.lit(not rules.allow_utf8_bom), "utf8_bom", 0),
         KIND.one(F.col("nul_bytes") > 0, "nul_bytes", 1, count=F.col("nul_bytes")),

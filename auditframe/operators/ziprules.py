@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditframe import config
+from auditframe.functions.columns import is_ascii
 from auditframe.functions.python import casefold
 from auditframe.operators.issues import IssueKind, first_holders
+from auditframe.runtime import written
 
 ENTRY_SCHEMA = "archive string, entry_index bigint, name string, is_dir boolean, compress_size bigint, file_size bigint, external_attr bigint, flag_bits int"
 
@@ -60,7 +62,9 @@ def collisions(flagged: DataFrame) -> DataFrame:
     The first holder of each folded path is found by aggregation, so archives of any size and
     any number of colliding entries are shared out by path.
     """
-    safe = flagged.filter("safe").select("archive", "entry_index", "name", "canonical", casefold(F.col("canonical")).alias("folded"))
+    safe = flagged.filter("safe").select("archive", "entry_index", "name", "canonical")
+    # names beyond ASCII are rare: only those leave the JVM
+    safe = safe.filter(is_ascii(F.col("canonical"))).withColumn("folded", F.lower("canonical")).unionByName(safe.filter(~is_ascii(F.col("canonical"))).withColumn("folded", casefold(F.col("canonical"))))
     crowded = safe.groupBy("archive", "folded").agg(F.min(F.struct("entry_index", "name", "canonical")).alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = safe.join(crowded, ["archive", "folded"]).filter("holder.name <> name")
     kind = F.when(F.col("holder.canonical") == F.col("canonical"), "normalized_path_collision").otherwise("case_collision")
@@ -69,7 +73,7 @@ def collisions(flagged: DataFrame) -> DataFrame:
 
 def zip_issues(entries: DataFrame, rules: ZipRules) -> DataFrame:
     """All issues of all archives."""
-    flagged = hazards(entries)
+    flagged = written(hazards(entries), "zip-entries")
     firsts = first_holders(flagged, ["archive", "name"], "entry_index").withColumnRenamed("first_line", "first_index")
     rows = flagged.join(firsts, ["archive", "name"], "left").join(collisions(flagged), ["archive", "entry_index"], "left")
     own = {"entry_index": F.col("entry_index"), "path": F.col("name")}
@@ -89,7 +93,7 @@ def zip_issues(entries: DataFrame, rules: ZipRules) -> DataFrame:
         KIND.one(file & (size > 0) & (ratio > float(rules.max_ratio)), "compression_ratio_exceeded", 10, actual_ratio=ratio, maximum_ratio=F.lit(float(rules.max_ratio)), **own),
     ]
     found = KIND.exploded(rows, [F.col("archive")], F.col("entry_index"), F.array(*issues))
-    totals = entries.groupBy("archive").agg(F.sum(size.cast("decimal(38,0)")).alias("total"))
+    totals = flagged.groupBy("archive").agg(F.sum(size.cast("decimal(38,0)")).alias("total"))
     over = KIND.one(F.col("total") > rules.max_total_bytes, "archive_too_large", 11, actual_bytes=F.col("total"), maximum_bytes=F.lit(rules.max_total_bytes))
     return found.unionByName(KIND.exploded(totals, [F.col("archive")], F.lit(2**62), F.array(over)))
 
