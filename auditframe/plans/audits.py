@@ -72,17 +72,42 @@ def manifest_component_sort(spark, sf_dir):
     return manifest.in_component_order(_documents(spark, sf_dir))
 
 
-@_query(
-    r"""with e as (select entry_id as idx, path, size, sha256, row_number() over (partition by path order by entry_id) as nth, string_split(path, '/') as parts from intake),
+_FAULTS = r"""with e as (select entry_id as idx, @PATH as path, size, sha256, row_number() over (partition by @PATH order by entry_id) as nth, string_split(@PATH, '/') as parts from intake),
 f as (select idx, case when path is null or path = '' then 'invalid_path'
   when contains(path, '\') or list_contains(parts, '') or list_contains(parts, '.') or list_contains(parts, '..') then 'not_normalized' when nth > 1 then 'duplicate_path'
   when size is null or size < 0 then 'invalid_size' when sha256 is null or not regexp_full_match(sha256, '[0-9a-f]{64}') then 'invalid_digest' end as fault from e)
 select * from f where fault is not null"""
-)
+
+
+@_query(_FAULTS.replace("@PATH", "path"))
 def manifest_validate(spark, sf_dir):
     return manifest.faults(_table(spark, sf_dir, "intake").withColumnRenamed("entry_id", "idx"))
 
 
+_ODD_PATH = r"case entry_id % 11 when 0 then '' when 1 then 'a//b' when 2 then null when 3 then '../x' when 4 then concat('same/', entry_id % 3) when 5 then 'a/./b' when 6 then 'a\b' when 7 then '/a' else path end"
+
+
+@_query(_FAULTS.replace("@PATH", _ODD_PATH))
+def manifest_odd_paths(spark, sf_dir):
+    """Entries of which many have an unusual or repeated path, put in by rule."""
+    return manifest.faults(_table(spark, sf_dir, "intake").select(F.col("entry_id").alias("idx"), F.expr(_ODD_PATH.replace("\\", "\\\\")).alias("path"), "size", "sha256"))
+
+
+@_query(f"with {_M}, n as (select case when path like '%1.tex' then 'x/.git/' || path when path like '%2.tex' then '__pycache__/' || path when path like '%3.tex' then 'a.git/' || path else path end as path, size, sha256 from m) select * from n where path not like 'x/.git/%' and path not like '\\_\\_pycache\\_\\_/%' escape '\\'")
+def manifest_excluded_names(spark, sf_dir):
+    """Paths with components that an inventory leaves out by default, put in by rule."""
+    path = F.col("path")
+    prefix = F.when(path.endswith("1.tex"), "x/.git/").when(path.endswith("2.tex"), "__pycache__/").when(path.endswith("3.tex"), "a.git/").otherwise("")
+    return manifest.without_excluded(_documents(spark, sf_dir).withColumn("path", F.concat(prefix, path)))
+
+
+@_query("with p as (select distinct vol_name || '/' || path as path from inventory_primary), f as (select path, regexp_extract(path, '(?s)\\A(.*)/', 1) as folder from p) select folder, path, row_number() over (partition by folder order by string_split(path, '/')) as place from f")
+def manifest_places(spark, sf_dir):
+    """The place of each path among those of its folder, in the order of components."""
+    paths = _table(spark, sf_dir, "inventory_primary").select(F.concat("vol_name", F.lit("/"), "path").alias("path")).distinct()
+    return manifest.component_ranks(paths.withColumn("folder", F.regexp_extract("path", r"(?s)\A(.*)/", 1)), "folder")
+
+
 @_query(f"with {_DIFF} select * from d where change <> 'unchanged'")
 def manifest_diff(spark, sf_dir):
     return manifest.difference(_inventory(spark, sf_dir, "inventory_primary"), _inventory(spark, sf_dir, "inventory_replica"))
@@ -147,8 +172,8 @@ def policy_oversize(spark, sf_dir):
 _CSV = CsvRules(("id", "event"), ("id", "event"), "id", {"id": "integer", "occurred_on": "date", "duration_ms": "number", "success": "boolean"}, 24)
 
 
-def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of csv_lines as rows of their files, parsed once; those with broken quoting have null fields and an error, which the SQL below leaves out."""
+def _csv_rows(spark: SparkSession, sf_dir: str, raw_line: str = "raw_line") -> DataFrame:
+    """The records of csv_lines as rows of their files, parsed once; those with broken quoting have null fields and an error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,31 +190,35 @@ def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             columns = [pa.array(names, pa.string()), pa.array([x - 1 for x in lines], pa.int64()), records, pa.array(fields, pa.list_(pa.string())), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["file", "record", "line", "fields", "error"])
 
-    raw = spread(_table(spark, sf_dir, "csv_lines").select("file_name", "line_no", "raw_line"))
+    raw = spread(_table(spark, sf_dir, "csv_lines").select("file_name", "line_no", F.expr(raw_line).alias("raw_line")))
     return written(raw.mapInArrow(parse, csvrules.ROW_SCHEMA), "csv-rows")
 
 
-_C = r"""raw as (
-  select file_name as file, line_no as line, regexp_replace(case when line_no = 1 then ltrim(raw_line, chr(65279)) else raw_line end, '(\r\n|\n|\r)\z', '') as r from csv_lines
+_CSV_SQL = r"""raw as (
+  select file_name as file, line_no as line, regexp_replace(case when line_no = 1 then ltrim(raw_line, chr(65279)) else raw_line end, '(\r\n|\n|\r)\z', '') as r from (select file_name, line_no, @RAW as raw_line from csv_lines)
+), heads as (select file_name as file, @HEAD as head from csv_lines where line_no = 1
 ), parsed as (
   select file, line, case when r = '' then [] else list_transform(regexp_extract_all(r || ',', '(?s)("(?:[^"]|"")*"|(?:[^",][^,]*)?),', 1), lambda x: case when starts_with(x, '"') then replace(x[2:-2], '""', '"') else x end) end as f
   from raw where regexp_full_match(r, '(?s)("(?:[^"]|"")*"|(?:[^",][^,]*)?)(,("(?:[^"]|"")*"|(?:[^",][^,]*)?))*')
-), data as (select *, len(f) as n from parsed where line > 1),
+), data as (select file, line, f, len(f) as n, head from parsed join heads using (file) where line > 1 and head <> 'none'),
+broken as (select file, line from raw where line > 1 and (file, line) not in (select file, line from parsed)),
 firsts as (select file, f[1] as v, min(line) as first_line from data where n = 5 group by all having count(*) > 1),
 found as (
   select file, line, 'blank_row' as code, null as "column", null as first_line from data where n = 0
   union all select file, line, 'row_width', null, null from data where n not in (0, 5)
-  union all select file, line, 'empty_required_values', null, null from data where n = 5 and (f[1] = '' or f[3] = '')
+  union all select file, line, 'empty_required_values', null, null from data where n = 5 and (f[1] = '' or (f[3] = '' and head <> 'other'))
   union all select d.file, line, 'duplicate_unique_value', 'id', first_line from data d join firsts on d.file = firsts.file and d.f[1] = firsts.v and d.line > first_line where n = 5
   union all select file, line, 'field_too_large', ['id', 'occurred_on', 'event', 'duration_ms', 'success'][i], null from data, range(1, 6) as t(i) where n = 5 and octet_length(encode(f[i])) > 24
   union all select file, line, 'invalid_type', 'id', null from data where n = 5 and f[1] <> '' and not regexp_full_match(f[1], '[+-]?[0-9]+')
   union all select file, line, 'invalid_type', 'occurred_on', null from data where n = 5 and f[2] <> ''
     and not coalesce(regexp_full_match(f[2], '[0-9]{4}-[0-9]{2}-[0-9]{2}') and f[2][1:4] <> '0000' and try_cast(f[2] as date) is not null, false)
-  union all select file, line, 'invalid_type', 'duration_ms', null from data where n = 5 and f[4] <> '' and not (
+  union all select file, line, 'invalid_type', 'duration_ms', null from data where n = 5 and head = 'good' and f[4] <> '' and not (
     regexp_full_match(f[4], '[ \t\n\v\f\r]*[+-]?([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?[ \t\n\v\f\r]*')
     and coalesce(isfinite(try_cast(regexp_replace(f[4], '[_ \t\n\v\f\r]', '', 'g') as double)), false))
   union all select file, line, 'invalid_type', 'success', null from data where n = 5 and f[5] not in ('', 'true', 'false')
+  union all select file, line, 'csv_parse_error', null, null from broken
 )"""
+_C = _CSV_SQL.replace("@RAW", "raw_line").replace("@HEAD", "'good'")
 
 
 @_query(f"with {_C} select * from found")
@@ -201,12 +230,30 @@ def csv_issues(spark, sf_dir):
     f"""with {_C}, bad as (select distinct file, line from found), rep as (select file, line from found where code = 'duplicate_unique_value')
 select d.file, count(*) as data_rows, count(*) filter (bad.line is null) as valid_rows, count(*) filter (bad.line is not null) as invalid_rows, count(*) filter (n = 0) as blank_rows,
   count(rep.line) as duplicate_rows, coalesce(max(case when n = 5 then list_max(list_transform(f, lambda x: octet_length(encode(x)))) end), 0) as maximum_field_bytes
-from data d left join bad on bad.file = d.file and bad.line = d.line left join rep on rep.file = d.file and rep.line = d.line group by d.file"""
+from (select file, line, f, n from data union all select file, line, null, -1 from broken) d left join bad on bad.file = d.file and bad.line = d.line left join rep on rep.file = d.file and rep.line = d.line group by d.file"""
 )
 def csv_summary(spark, sf_dir):
     return csvrules.csv_summary(_csv_rows(spark, sf_dir), _CSV, alone=True)
 
 
+_CSV_DIRT = """case when line_no = 1 and line_id % 5 = 0 then '' when line_no = 1 and line_id % 5 = 1 then 'id,occurred_on,event,,success' when line_no = 1 and line_id % 5 = 2 then 'id,occurred_on,name,name,success'
+  when line_no > 1 and line_id % 41 = 0 then '' else raw_line end"""
+_CSV_HEAD = "case line_id % 5 when 0 then 'none' when 1 then 'short' when 2 then 'other' else 'good' end"
+
+
+@_query(
+    "with " + _CSV_SQL.replace("@RAW", _CSV_DIRT).replace("@HEAD", _CSV_HEAD) + """, heading(head, code, rule_ord) as (values ('none', 'missing_header', 0), ('short', 'empty_header_columns', 1), ('short', 'missing_rule_columns', 4),
+  ('other', 'duplicate_header_columns', 2), ('other', 'missing_required_columns', 3), ('other', 'missing_rule_columns', 4))
+select file, 0 as pos, rule_ord, 0 as sub_ord, code, null as line from heads join heading using (head)
+union all select file, line - 1, case code when 'blank_row' then 0 when 'row_width' then 0 when 'field_too_large' then 1 when 'empty_required_values' then 2 when 'duplicate_unique_value' then 3 when 'invalid_type' then 4 else 9 end,
+  case code when 'field_too_large' then list_position(['id', 'occurred_on', 'event', 'duration_ms', 'success'], "column") - 1
+    when 'invalid_type' then list_position(['duration_ms', 'id', 'occurred_on', 'success'], "column") - 1 else 0 end, code, line from found join heads using (file)"""
+)
+def csv_dirty_issues(spark, sf_dir):
+    """The same records with faults put in by rule: headers that are missing, repeated, empty or other than the rules', and blank rows; with the order of a report."""
+    return csvrules.csv_issues(_csv_rows(spark, sf_dir, _CSV_DIRT), _CSV).select("file", "pos", "rule_ord", "sub_ord", "code", "line")
+
+
 @_query()
 def stream_rejects(spark, sf_dir):
     """p1's rule on the same records read as a stream."""
@@ -255,11 +302,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").cast("binary").alias("content")))
 
 
-_T = r"""base as (select cast(doc_id as varchar) as file, text, octet_length(encode(text)) as byte_count, len(text) - len(replace(text, chr(13) || chr(10), chr(10))) as crlf,
-    len(text) - len(replace(text, chr(10), '')) as n, len(text) - len(replace(text, chr(13), '')) as r, text = '' or right(text, 1) in (chr(10), chr(13)) as final from documents),
+_TEXT_SQL = r"""base as (select cast(doc_id as varchar) as file, text, octet_length(encode(text)) as byte_count, len(text) - len(replace(text, chr(13) || chr(10), chr(10))) as crlf,
+    len(text) - len(replace(text, chr(10), '')) as n, len(text) - len(replace(text, chr(13), '')) as r, text = '' or right(text, 1) in (chr(10), chr(13)) as final from @DOCS),
 t as (select file, text, byte_count, crlf as crlf_endings, n - crlf as lf_endings, r - crlf as bare_cr_endings, final, case when text = '' then [] when final then p[1:len(p) - 1] else p end as lines
   from (select *, regexp_split_to_array(text, '\r\n|\r|\n') as p from base)),
 ln as (select file, i as line, lines[i] as v, octet_length(encode(lines[i])) as size from t, range(1, len(lines) + 1) as x(i))"""
+_T = _TEXT_SQL.replace("@DOCS", "documents")
 
 
 @_query(
@@ -272,11 +320,12 @@ def text_summary(spark, sf_dir):
     return textrules.text_summary(_texts(spark, sf_dir))
 
 
-_TI = f"""{_T}, found as (
+_FOUND = """found as (
   select file, 0 as rule_ord, 0 as sub_ord, 'utf8_bom' as code, null as line from t where starts_with(text, chr(65279)) union all select file, 1, 0, 'nul_bytes', null from t where contains(text, chr(0))
   union all select file, 3, 0, 'mixed_newlines', null from t where (crlf_endings > 0)::int + (lf_endings > 0)::int + (bare_cr_endings > 0)::int > 1
   union all select file, 4, 0, 'bare_cr_newline', null from t where bare_cr_endings > 0 union all select file, 5, 0, 'missing_final_newline', null from t where not final
   union all select file, 6, 2 * line - 2, 'trailing_whitespace', line from ln where v like '% ' or v like '%' || chr(9) union all select file, 6, 2 * line - 1, 'line_too_large', line from ln where size > 400)"""
+_TI = f"{_T}, {_FOUND}"
 _TEXT = TextRules(max_line_bytes=400)
 
 
@@ -285,6 +334,27 @@ def text_issues(spark, sf_dir):
     return textrules.text_issues(_texts(spark, sf_dir), _TEXT).select("file", "code", "line")
 
 
+#: Marks, NULs, bytes that aren't UTF-8, and other newlines, put into the texts by rule. In the SQL, X stands for the wrong byte.
+_DIRTY_DOCS = r"""(select doc_id, case doc_id % 7 when 0 then chr(65279) || text when 1 then text[1:10] || chr(0) || text[11:] when 2 then text || 'X' when 3 then replace(text, chr(10), chr(13))
+  when 4 then regexp_replace(text, '\n', e'\r\n') else text end as text from documents)"""
+
+
+@_query(
+    f"with {_TEXT_SQL.replace('@DOCS', _DIRTY_DOCS)}, {_FOUND} select file, rule_ord, sub_ord, code, line, null as byte_offset from found union all select cast(doc_id as varchar), 2, 0, 'invalid_utf8', null, octet_length(encode(text)) from documents where doc_id % 7 = 2"
+)
+def text_dirty_issues(spark, sf_dir):
+    """Every code of the text rules, with the order of a report."""
+    kind, byte, text = F.col("doc_id") % 7, F.col("text").cast("binary"), F.col("text")
+    at = F.instr("text", "\n")
+    crlf = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit("\r\n"), F.substring(text, at + 1, F.length(text)))).otherwise(text)
+    content = (
+        F.when(kind == 0, F.concat(F.lit(b"\xef\xbb\xbf"), byte)).when(kind == 1, F.concat(F.substring(text, 1, 10), F.lit("\0"), F.substring(text, F.lit(11), F.length(text))).cast("binary"))
+        .when(kind == 2, F.concat(byte, F.lit(b"\xff"))).when(kind == 3, F.translate(text, "\n", "\r").cast("binary")).when(kind == 4, crlf.cast("binary")).otherwise(byte)
+    )
+    files = spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), content.alias("content")))
+    return textrules.text_issues(files, _TEXT).select("file", "rule_ord", "sub_ord", "code", "line", "byte_offset")
+
+
 @_query(f"with {_TI} select code, count(*) as n from found group by code")
 def issue_code_counts(spark, sf_dir):
     return issues.code_counts(textrules.text_issues(_texts(spark, sf_dir), _TEXT))
@@ -299,21 +369,23 @@ def issue_topk(spark, sf_dir):
 
 _NAME = "case when entry_id % 11 = 0 then concat('../', path) when entry_id % 13 = 0 then concat('/', path) when entry_id % 17 = 0 then replace(path, '/', '\\\\') when entry_id % 19 = 0 then upper(path) when entry_id % 23 = 0 then replace(path, '/', '//') when entry_id % 29 = 0 then concat('C:', path) else path end"
 
+_PACKED = "cast(coalesce(octet_length(body), size, 0) div 40 as bigint)"
+
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entries(spark: SparkSession, sf_dir: str, name: str = _NAME, packed: str = _PACKED) -> DataFrame:
     """The intake's batches as archives, with hazards put into some names by rule."""
     return _table(spark, sf_dir, "intake").select(
-        F.concat(F.lit("batch-"), F.col("batch_no").cast("string")).alias("archive"), F.col("entry_id").alias("entry_index"), F.expr(_NAME).alias("name"), F.lit(False).alias("is_dir"),
-        F.expr("cast(coalesce(octet_length(body), size, 0) div 40 as bigint)").alias("compress_size"), F.expr("cast(coalesce(size, 0) as bigint)").alias("file_size"),
+        F.concat(F.lit("batch-"), F.col("batch_no").cast("string")).alias("archive"), F.col("entry_id").alias("entry_index"), F.expr(name).alias("name"), F.lit(False).alias("is_dir"),
+        F.expr(packed).alias("compress_size"), F.expr("cast(coalesce(size, 0) as bigint)").alias("file_size"),
         F.expr("cast(case when entry_id % 37 = 0 then 2717843456 else 0 end as bigint)").alias("external_attr"), F.expr("cast(entry_id % 41 = 0 as int)").alias("flag_bits"),
     )
 
 
 _ZIP = ZipRules(200_000, 1_000_000, 60.0)
-_Z = r"""e as (select 'batch-' || batch_no as archive, entry_id as entry_index, """ + _NAME.replace("'\\\\'", "'\\'") + r""" as name, cast(coalesce(octet_length(encode(body)), size, 0) as bigint) // 40 as packed, cast(coalesce(size, 0) as bigint) as size, entry_id from intake),
+_ZIP_SQL = r"""e as (select 'batch-' || batch_no as archive, entry_id as entry_index, @NAME as name, @PACKED as packed, cast(coalesce(size, 0) as bigint) as size, entry_id from intake),
 p as (select *, string_split(regexp_replace(replace(name, '\', '/'), '/\z', ''), '/') as parts from e),
 h as (select *, name = '' or contains(name, chr(0)) as h1, regexp_matches(name, '(?s)\A([/\\]|.:)') as h2, contains(name, '\') as h3, list_contains(parts, '..') as h4, list_contains(parts, '') or list_contains(parts, '.') as h5 from p),
-s as (select *, array_to_string(parts, '/') as canonical, lower(array_to_string(parts, '/')) as folded from h where not (h1 or h2 or h3 or h4 or h5)),
+s as (select *, array_to_string(parts, '/') as canonical, lower(replace(array_to_string(parts, '/'), 'ß', 'ss')) as folded from h where not (h1 or h2 or h3 or h4 or h5)),
 holders as (select archive, folded, first(name order by entry_index) as hname, first(canonical order by entry_index) as hcanon, min(entry_index) as hindex from s group by all having count(*) > 1),
 names as (select archive, name, min(entry_index) as first_index from e group by all having count(*) > 1),
 found as (
@@ -324,6 +396,8 @@ found as (
   union all select archive, entry_index, 'symlink_entry', null from e where entry_id % 37 = 0 union all select archive, entry_index, 'encrypted_entry', null from e where entry_id % 41 = 0
   union all select archive, entry_index, 'entry_too_large', null from e where size > 200000 union all select archive, entry_index, 'compression_ratio_exceeded', null from e where size > 0 and (packed = 0 or size / packed > 60)
   union all select archive, null, 'archive_too_large', null from (select archive, sum(size) as total from e group by archive) where total > 1000000)"""
+_PACKED_SQL = "cast(coalesce(octet_length(encode(body)), size, 0) as bigint) // 40"
+_Z = _ZIP_SQL.replace("@NAME", _NAME.replace("'\\\\'", "'\\'")).replace("@PACKED", _PACKED_SQL)
 
 
 @_query(f"with {_Z} select * from found")
@@ -339,6 +413,22 @@ def zip_summary(spark, sf_dir):
     return ziprules.zip_summary(_entries(spark, sf_dir)).withColumn("highest_finite_compression_ratio", F.round("highest_finite_compression_ratio", 6))
 
 
+#: Names that are empty, repeated, or the same but for case or a last slash, and sizes that nothing packs to.
+_ODD_NAME = "case when entry_id % 31 = 0 then '' when entry_id % 37 = 1 then concat('Straße/', entry_id % 5) when entry_id % 37 = 2 then concat('STRASSE/', entry_id % 5) when entry_id % 37 = 3 then concat('same/', entry_id % 5) when entry_id % 37 = 4 then concat('Same/', entry_id % 5) when entry_id % 37 = 5 then concat('same/', entry_id % 5, '/') else path end"
+_ODD_PACKED = "case when entry_id % 29 = 0 then 0 when entry_id % 29 = 1 then size div 1000 else size end"
+
+
+@_query(
+    "with " + _ZIP_SQL.replace("@NAME", _ODD_NAME).replace("@PACKED", "coalesce(" + _ODD_PACKED.replace(" div ", " // ") + ", 0)")
+    + """, ranks(code, rule_ord) as (values ('invalid_path', 0), ('absolute_or_drive_path', 1), ('backslash_path', 2), ('parent_traversal', 3), ('non_normalized_path', 4), ('duplicate_path', 5), ('normalized_path_collision', 6), ('case_collision', 6),
+  ('symlink_entry', 7), ('encrypted_entry', 8), ('entry_too_large', 9), ('compression_ratio_exceeded', 10), ('archive_too_large', 11))
+select archive, coalesce(entry_index, 4611686018427387904) as pos, rule_ord, code, first_entry_index from found join ranks using (code)"""
+)
+def zip_dirty_issues(spark, sf_dir):
+    """Collisions, repeated and empty names, and ratios, with the order of a report."""
+    return ziprules.zip_issues(_entries(spark, sf_dir, _ODD_NAME, f"cast(coalesce({_ODD_PACKED}, 0) as bigint)"), _ZIP).select("archive", "pos", "rule_ord", "code", "first_entry_index")
+
+
 @_query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'F')")
 def fk_violations(spark, sf_dir):
     """Line items that refer to no order among those not finished."""
@@ -349,11 +439,17 @@ def fk_violations(spark, sf_dir):
 _CATALOG = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-@_query(f"select table_name as name, count(*) as column_count from information_schema.columns where table_name in {_CATALOG} group by all")
+@_query(
+    f"""select table_name as name, count(*) as column_count, count(*) filter (data_type = 'VARCHAR') as hidden_column_count, count(*) filter (column_name like '%key') as not_null_column_count, count(*) filter (ordinal_position = 1) as primary_key_column_count,
+  count(*) filter (column_name like '%key' and ordinal_position > 1) as foreign_key_count, count(*) filter (column_name like '%key') as index_count from information_schema.columns where table_name in {_CATALOG} group by all"""
+)
 def catalog_counts(spark, sf_dir):
-    """Column counts of the star schema's tables, from catalog rows as the database reader gives them."""
+    """Counts of the star schema's tables, from catalog rows as the database reader gives them: strings are taken as hidden, keys as indexed, and keys after the first column as references."""
     rows = []
     for name in _CATALOG:
         rows.append(("db", "object", 0, "table", name, name, None, None, None, None, None))
-        rows += [("db", "column", i, None, c, name, 0, 0, 0, None, None) for i, c in enumerate(_table(spark, sf_dir, name).columns)]
-    return catalogrules.table_counts(spark.createDataFrame(rows, catalogrules.CATALOG_SCHEMA)).select("name", "column_count")
+        for i, (column, kind) in enumerate(_table(spark, sf_dir, name).dtypes):
+            key = column.endswith("key")
+            rows.append(("db", "column", i, None, column, name, int(kind == "string"), int(key), int(i == 0), None, None))
+            rows += [("db", "index", i, None, None, name, None, None, None, None, None)] * key + [("db", "foreign_key", i, None, None, name, None, None, None, None, None)] * (key and i > 0)
+    return catalogrules.table_counts(spark.createDataFrame(rows, catalogrules.CATALOG_SCHEMA)).drop("db")
