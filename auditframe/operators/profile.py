@@ -84,16 +84,16 @@ def lower_medians(judged: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def rare_masks(rows: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """``(by..., field_name, mask, n)``: the masks that are rare in their own load, and how many values have them.
+    """``(by..., field_name, mask, n, example)``: the masks that are rare in their own load, how many values have them, and the least of these.
 
     A mask is rare if its share is below ``RARE``, or if a single value has it and it isn't dominant: in
     a small load one value is a larger share already.
     """
     group = [*by, "field_name"]
     judged = judged_counts(value_counts(rows, by, fields), {})
-    masks = judged.filter("value is not null").groupBy(*group, "mask").agg(F.sum("n").alias("n"))
+    masks = judged.filter("value is not null").groupBy(*group, "mask").agg(F.sum("n").alias("n"), F.min("value").alias("example"))
     shares = masks.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group)))
-    return shares.filter((F.col("share") < RARE) | ((F.col("n") == 1) & (F.col("share") < DOMINANT))).select(*group, "mask", "n")
+    return shares.filter((F.col("share") < RARE) | ((F.col("n") == 1) & (F.col("share") < DOMINANT))).select(*group, "mask", "n", "example")
 
 
 def mask_statistics(judged: DataFrame, by: Sequence[str], order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,22 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditframe.runtime import bucket_count, bucketed, own_folder, small_side, written
+from auditframe.runtime import add_to_table, bucket_count, bucketed, own_folder, remove_folder, small_side, written
 
 _KEY = ("root_name", "path")
 
 
+_LOG = "version int, buckets int"
+
+
 @dataclass(frozen=True)
 class SnapshotIndex:
-    """Bucketed table (root_name, path, snapshot_no, value_hash): the last snapshot of every root."""
+    """Bucketed table (root_name, path, snapshot_no, value_hash): the last snapshot of every root.
+
+    At a ``location`` of the caller's it outlives the session; the log there names the version that holds.
+    """
 
     table: str
+    location: str | None = None
+    version: int = 0
+
+    @staticmethod
+    def open(spark: SparkSession, location: str) -> SnapshotIndex:
+        """The index that the last swap left at a location."""
+        version, buckets = spark.read.schema(_LOG).parquet(f"{location}/log").agg(F.max(F.struct("version", "buckets")).alias("x")).select("x.*").first()
+        index = SnapshotIndex(_table_name(location, version), location, version)
+        if not spark.catalog.tableExists(index.table):
+            spark.sql(f"create table {index.table} (root_name string, path string, snapshot_no int, value_hash bigint) using parquet clustered by ({', '.join(_KEY)}) into {buckets} buckets location '{location}/v{version}'")
+        return index
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.table(self.table)
 
     def drop(self, spark: SparkSession) -> None:
         spark.sql(f"drop table if exists {self.table}")
+        if self.location:
+            remove_folder(spark, f"{self.location}/v{self.version}")
+
+
+def _table_name(location: str, version: int) -> str:
+    return f"snapshot_index_{zlib.crc32(location.encode()):08x}_{version}"
 
 
 def hashed_rows(rows: DataFrame) -> DataFrame:
@@ -70,16 +94,17 @@ def _within(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     return edges.select("root_name", "path", F.explode(found).alias("x")).select("root_name", F.col("x.no").alias("snapshot_no"), "path", F.col("x.kind").alias("change_kind"))
 
 
-def _against_index(rows: DataFrame, calendar: DataFrame, index: SnapshotIndex) -> DataFrame:
-    """Changes of each root's first delivered snapshot against the index, which isn't shuffled."""
-    first = calendar.select(F.col("root_name").alias("r"), F.col("snaps")[0].alias("first_no"))
-    fresh = _holding(rows.join(first, (F.col("root_name") == F.col("r")) & (F.col("snapshot_no") == F.col("first_no"))).drop("r", "first_no"))
-    fresh = fresh.select(*_KEY, F.col("snapshot_no").alias("new_no"), F.col("value_hash").alias("new"))
+def _known_roots(first: DataFrame, index: SnapshotIndex) -> DataFrame:
+    """(r, first_no) of the delivered roots that the index knows: only their paths can be added or removed."""
+    known = index.rows(first.sparkSession).select(F.col("root_name").alias("r")).distinct()
+    return small_side(first.join(known, "r", "left_semi"), "roots")
+
+
+def _against_index(rows: DataFrame, roots: DataFrame, index: SnapshotIndex) -> DataFrame:
+    """Changes of each known root's first delivered snapshot, which ``rows`` hold alone, against the index, which isn't shuffled."""
+    fresh = _holding(rows).select(*_KEY, F.col("snapshot_no").alias("new_no"), F.col("value_hash").alias("new"))
     held = index.rows(rows.sparkSession).select(*_KEY, F.col("snapshot_no").alias("old_no"), F.col("value_hash").alias("old"))
     met = held.join(fresh, list(_KEY), "full_outer").filter("not (old <=> new)")
-    # an added path counts only if the index knew its root; a removed one only if its root was delivered
-    known = held.groupBy(F.col("root_name").alias("r")).agg(F.max("old_no").alias("known_no"))
-    roots = small_side(first.join(known, "r"), "roots")
     return met.join(roots, F.col("root_name") == F.col("r")).select(
         "root_name", F.col("first_no").alias("snapshot_no"), "path",
         F.expr("case when old_no is null then 'added' when new_no is null then 'removed' else 'changed' end").alias("change_kind"),
@@ -101,19 +126,35 @@ def snapshot_changes(batch: DataFrame, index: SnapshotIndex | None = None) -> Da
     calendar = small_side(_calendar(rows), "calendar")
     found = _within(rows, calendar)
     if index is not None:
-        found = found.unionByName(_against_index(rows, calendar, index))
+        first = calendar.select(F.col("root_name").alias("r"), F.col("snaps")[0].alias("first_no"))
+        roots, starts = _known_roots(first, index), (F.col("root_name") == F.col("r")) & (F.col("snapshot_no") == F.col("first_no"))
+        found = found.unionByName(_against_index(rows.join(first, starts, "left_semi"), roots, index))
     return found
 
 
-def next_index(batch: DataFrame, index: SnapshotIndex | None = None) -> SnapshotIndex:
-    """The index after ``batch``, to be swapped in for ``index``: roots not delivered keep their entries."""
+def next_index(batch: DataFrame, index: SnapshotIndex | None = None, location: str | None = None, last: DataFrame | None = None) -> SnapshotIndex:
+    """The index after ``batch``, to be swapped in for ``index``: roots not delivered keep their entries.
+
+    It lies at the location given or that of ``index``, else in the shared folder until the driver ends. ``last`` has
+    the last snapshot (r, last_no) of each delivered root, if that is known already.
+    """
     rows = hashed_rows(batch.dropna(subset=["root_name", "snapshot_no", "path"]))
-    last = small_side(rows.groupBy(F.col("root_name").alias("r")).agg(F.max("snapshot_no").alias("last_no")), "last")
+    if last is None:
+        last = small_side(rows.groupBy(F.col("root_name").alias("r")).agg(F.max("snapshot_no").alias("last_no")), "last")
     kept = _holding(rows.join(last, (F.col("root_name") == F.col("r")) & (F.col("snapshot_no") == F.col("last_no"))))
     kept = kept.select(*_KEY, "snapshot_no", "value_hash")
     if index is not None:
         kept = kept.unionByName(index.rows(batch.sparkSession).join(last, F.col("root_name") == F.col("r"), "left_anti"))
-    return SnapshotIndex(bucketed(kept, "snapshot_index", bucket_count(batch.sparkSession), *_KEY))
+    spark, location = batch.sparkSession, location or (index and index.location)
+    buckets = bucket_count(spark)
+    if not location:
+        return SnapshotIndex(bucketed(kept, "snapshot_index", buckets, *_KEY))
+    location, version = location.rstrip("/"), index.version + 1 if index else 1
+    swapped = SnapshotIndex(_table_name(location, version), location, version)
+    swapped.drop(spark)  # what an attempt that failed may have left
+    add_to_table(kept.select(*_KEY, "snapshot_no", "value_hash").repartition(buckets, *_KEY), swapped.table, buckets, *_KEY, path=f"{location}/v{version}")
+    spark.createDataFrame([(version, buckets)], _LOG).coalesce(1).write.mode("append").parquet(f"{location}/log")
+    return swapped
 
 
 def changed_values(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -129,25 +170,28 @@ def changed_values(changes: DataFrame, before: DataFrame, after: DataFrame) -> D
     return some.join(values(before, "old_value"), list(_KEY)).join(values(after, "new_value"), list(_KEY))
 
 
-def _dealt(snapshots: DataFrame) -> list[DataFrame]:
-    """The history as deliveries: the first snapshot of every root, the second, and so on, each in its own folder."""
+def _dealt(snapshots: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The history as deliveries, each in its own folder: the first snapshot of every root, the second, and so on; with (r, first_no) of the roots delivered."""
     rows = snapshots.select(*_KEY, "snapshot_no", "recorded_at", "size", "sha256").dropna(subset=["root_name", "snapshot_no", "path"])
     numbers = rows.select(F.col("root_name").alias("r"), F.col("snapshot_no").alias("no")).distinct()
     turns = small_side(numbers.withColumn("turn", F.row_number().over(Window.partitionBy("r").orderBy("no"))), "turns")
     most = turns.agg(F.max("turn")).first()[0] or 0
     path = own_folder(rows.sparkSession, "deliveries")
     rows.join(turns, (F.col("root_name") == F.col("r")) & (F.col("snapshot_no") == F.col("no"))).drop("r", "no").write.partitionBy("turn").parquet(path)
-    return [rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/turn={turn}") for turn in range(1, most + 1)]
+    for turn in range(1, most + 1):
+        yield rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/turn={turn}"), turns.filter(F.col("turn") == turn).select("r", F.col("no").alias("first_no"))
 
 
 def _replayed(snapshots: DataFrame) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
-    """(changes, before, after) of each delivery: it is probed against the index, and the index is then swapped for the next."""
+    """(changes, before, after) of each delivery: it is probed against the index, and the index is then swapped for the next.
+
+    A root's second delivery and all after it are of a root that the index knows.
+    """
     index, before = None, None
-    for batch in _dealt(snapshots):
+    for batch, roots in _dealt(snapshots):
         if index is not None:
-            rows = hashed_rows(batch)
-            yield written(_against_index(rows, small_side(_calendar(rows), "calendar"), index), "changes"), before, batch
-        old, index, before = index, next_index(batch, index), batch
+            yield written(_against_index(hashed_rows(batch), roots, index), "changes"), before, batch
+        old, index, before = index, next_index(batch, index, last=roots.withColumnRenamed("first_no", "last_no")), batch
         if old is not None:
             old.drop(batch.sparkSession)
 

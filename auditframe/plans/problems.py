@@ -159,7 +159,7 @@ ORACLE["p5_profile"] = (
 ), s as (
   select feed, load_no, field_name, count(*) as rows, count(*) - count(value) as nulls, count(distinct value) as distinct_values, min(value) as least_value, max(value) as greatest_value, min(number) as least_number, max(number) as greatest_number,
     count(*) filter (field_name in ('occurred_on', 'duration_ms') and value <> '' and number is null) as off_form, quantile_disc(number, 0.5) as median from j group by all
-), m as (select feed, load_no, field_name, mask, count(*) as n from j where value is not null group by all),
+), m as (select feed, load_no, field_name, mask, count(*) as n, min(value) as example from j where value is not null group by all),
   t as (select feed, load_no, field_name, sum(n) as total from m group by all),
   sh as (select m.*, n / total as share from m join t using (feed, load_no, field_name)),
   o as (select feed, load_no, field_name, coalesce(string_agg(mask, '|' order by mask) filter (share >= 0.2), '') as dominant_masks, round(sum(case when share < 0.01 then share else 0 end), 6) as rare_share from sh group by all),
@@ -169,3 +169,9 @@ ORACLE["p5_profile"] = (
   gs as (select g.feed, g.load_no, g.field_name, round(sum(gap) / 2, 6) as mask_shift from g join nx on nx.feed = g.feed and nx.load_no = g.load_no and nx.field_name = g.field_name where prior is not null group by all)
 select s.*, dominant_masks, rare_share, mask_shift from s left join o using (feed, load_no, field_name) left join gs using (feed, load_no, field_name)"""
 )
+ORACLE["p5_rare_masks"] = ORACLE["p5_profile"].rsplit("select s.*", 1)[0] + "select feed, load_no, field_name, mask, n, example from sh where share < 0.01 or (n = 1 and share < 0.2)"
+ORACLE["p3_values"] = (
+    ORACLE["p3_found"].rsplit("select coalesce(n.root_name", 1)[0]
+    + """select n.root_name, n.snapshot_no, n.path, o.size as old_size, o.sha256 as old_sha256, n.size as new_size, n.sha256 as new_sha256
+from new_rows n join old_rows o on n.root_name = o.root_name and n.snapshot_no = o.snapshot_no and n.path = o.path where n.size is distinct from o.size or n.sha256 is distinct from o.sha256"""
+)

@@ -99,9 +99,32 @@ def test_snapshots_one_by_one(spark):
     assert sorted(found, key=repr) == brute_changes(table)
 
 
+def test_an_index_outlives_its_session(spark, tmp_path):
+    table = random_snapshots(6)
+    df = spark.createDataFrame(table, SNAPSHOT)
+    old = df.filter("snapshot_no <= 4")
+    index = snapshots.next_index(old, location=str(tmp_path / "index"))
+    spark.sql(f"drop table {index.table}")  # as another session's catalog doesn't have it
+    index = snapshots.SnapshotIndex.open(spark, str(tmp_path / "index"))
+    new = df.filter("snapshot_no > 4")
+    found = rows(snapshots.snapshot_changes(old)) + rows(snapshots.snapshot_changes(new, index))
+    assert sorted(found, key=repr) == brute_changes(table)
+    after = snapshots.next_index(new, index)
+    index.drop(spark)
+    assert rows(snapshots.SnapshotIndex.open(spark, str(tmp_path / "index")).rows(spark)) == rows(after.rows(spark)) == rows(snapshots.next_index(df).rows(spark))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = after.rows(spark)
+        plan = held.join(held.groupBy("root_name", "path").agg(F.max("snapshot_no").alias("n")), ["root_name", "path"], "full_outer")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_replay_swaps_the_index_for_each_delivery(spark, monkeypatch):
     table, swaps, own = random_snapshots(4), [], snapshots.next_index
-    monkeypatch.setattr(snapshots, "next_index", lambda batch, index=None: swaps.append(index) or own(batch, index))
+    monkeypatch.setattr(snapshots, "next_index", lambda batch, index=None, **more: swaps.append(index) or own(batch, index, **more))
     df = spark.createDataFrame(table, SNAPSHOT)
     assert rows(snapshots.replay(df)) == brute_changes(table)
     assert len(swaps) == 5 and swaps[0] is None and len({index.table for index in swaps[1:]}) == 4
@@ -185,4 +208,4 @@ def test_profile_with_masks(spark):
 
 def test_rare_masks(spark):
     table = load("f", 1, ["2031-01-01"] * 199 + ["01/02/2031"], ["1.5"] * 200, ["ok"] * 197 + ["Bad"] * 2 + [None]) + load("f", 2, ["2031-01-01"] * 19 + ["x"], ["1.5"] * 20, ["ok"] * 18 + ["Bad"] * 2) + load("f", 3, ["x"], ["1"], [None])
-    assert rows(profile.rare_masks(spark.createDataFrame(table, LOG), ["feed", "load_no"], ["occurred_on", "duration_ms", "status"])) == [("f", 1, "occurred_on", "9+/9+/9+", 1), ("f", 2, "occurred_on", "a", 1)]
+    assert rows(profile.rare_masks(spark.createDataFrame(table, LOG), ["feed", "load_no"], ["occurred_on", "duration_ms", "status"])) == [("f", 1, "occurred_on", "9+/9+/9+", 1, "01/02/2031"), ("f", 2, "occurred_on", "a", 1, "x")]
