@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import batched
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 GROUP_PIECES = 20_000
 
 
-#: Kinds of containers in one call, at most: each adds a row for every text.
-MAX_KINDS = 1000
+#: Kinds of containers that one pass over the texts fills; more take more passes.
+PASS_KINDS = 1000
 
 
 def tokenizer(path: str = TOKENIZER):
@@ -93,25 +94,35 @@ def fill_containers(documents: DataFrame, containers: DataFrame, path: str = TOK
 
     A text is cut only if it alone exceeds a kind's capacity, into pieces of exactly the
     capacity and a rest. Whole containers are closed at once; all other pieces are spread by
-    hash over groups of about ``group_pieces`` and packed within them by best fit decreasing, so no
+    hash over groups of about ``group_pieces``, as many as the kind has pieces for, and packed within them by best fit decreasing, so no
     task holds more than a group's open containers, and a group that grows beyond twice its
     size (equal ids) starts anew. Texts without tokens get a piece of size 0 in some container.
-    Each kind is a task of its own, and more than ``MAX_KINDS`` are an error; a kind whose capacity is null or not positive, or an empty
+    Each kind is a task of its own, and ``PASS_KINDS`` are filled in a pass; a kind whose capacity is null or not positive, or an empty
     table, gives no rows. Rows with one doc_id are separate texts. Other columns aren't read.
     """
     sizes = written(count_tokens(documents, path), "token-counts")
-    groups = max(1, -(-sizes.count() // group_pieces))
-    kinds = [(k, c) for k, c in containers.select("container_kind", F.col("capacity_tokens").cast("bigint")).filter("capacity_tokens > 0").distinct().take(MAX_KINDS + 1)]
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
-    each = F.array(*[F.struct(F.lit(k).cast("string").alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(kinds, key=str)])
-    each = each if kinds else F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
+    kinds = containers.select(F.col("container_kind").cast("string"), F.col("capacity_tokens").cast("bigint")).filter("capacity_tokens > 0").distinct()
+    passes, found = batched(kinds.toLocalIterator(), PASS_KINDS), None
+    for some in passes:
+        part = _filled(sizes, sorted(map(tuple, some), key=str), group_pieces)
+        found = part if found is None else found.unionByName(part)
+    return _filled(sizes.limit(0), [("", 1)], group_pieces) if found is None else found
+
+
+def _filled(sizes: DataFrame, kinds: list[tuple[str | None, int]], group_pieces: int) -> DataFrame:
+    """The texts' pieces in containers of some kinds."""
+    pieces_of = lambda c: F.sum(F.greatest(F.ceil(F.col("n_tokens") / c), F.lit(1)))
+    counts = sizes.agg(*[pieces_of(capacity) for _, capacity in kinds]).first()
+    each = F.array(*[
+        F.struct(F.lit(kind).cast("string").alias("container_kind"), F.lit(capacity).cast("bigint").alias("capacity"), F.lit(max(1, -(-(n or 0) // group_pieces))).cast("bigint").alias("groups"))
+        for (kind, capacity), n in zip(kinds, counts)
+    ])
     cut = F.expr("transform(sequence(0, greatest((n_tokens - 1) div capacity, 0)), i -> struct(cast(i as int) as piece_no, i * capacity as first_token, least(capacity, n_tokens - i * capacity) as size))")
     tasks = sizes.select("doc_id", "n_tokens", F.explode(each).alias("k")).select("doc_id", "n_tokens", "k.*")
-    pieces = tasks.select("container_kind", "capacity", "doc_id", F.explode(cut).alias("p")).select("container_kind", "capacity", "doc_id", "p.*")
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", "size"), F.lit(groups)).cast("int"))
+    pieces = tasks.select("container_kind", "capacity", "groups", "doc_id", F.explode(cut).alias("p")).select("container_kind", "capacity", "groups", "doc_id", "p.*")
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", "size"), F.col("groups")).cast("int")).drop("groups")
     ordered = pieces.repartition("container_kind", "grp").sortWithinPartitions("container_kind", "capacity", "grp", F.desc("size"), "doc_id", "piece_no")
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = sizes.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(_pack(2 * group_pieces), f"container_kind string, container_id string, doc_id {kind}, piece_no int, first_token bigint, n_tokens bigint")
 
 

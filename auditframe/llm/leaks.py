@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.runtime import spread
+from auditframe.runtime import spread, written
 
 #: Fixed masks, 1 where a token counts: each spans 8 tokens and ignores three of them. Whichever two of 12 tokens
 #: are replaced, a window of one of them is left whole (``bridged``).
@@ -20,6 +20,9 @@ MASKS = ("11101001", "10100111")
 #: Items are searched in blocks of at most this many characters, the bound of what is broadcast.
 BLOCK_CHARS = 16_000_000
 
+#: Hits of a text that are held at once, before those on one diagonal become one.
+HIT_BLOCK = 1_000_000
+
 _COMMAND = re.compile(r"\\[^\W\d_]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -87,9 +90,14 @@ class SeedIndex:
             if not len(h) or not len(table):
                 continue
             first, last = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            for i in np.flatnonzero(last > first):
-                for j in range(first[i], last[i]):
-                    found.add((int(owners[j]), int(at[i] - places[j])))
+            shared = np.flatnonzero(last > first)
+            # a seed that many items share has many owners: all are met in arrays, HIT_BLOCK of them at a time
+            ends = np.cumsum((last - first)[shared])
+            for part in np.split(shared, np.searchsorted(ends, np.arange(HIT_BLOCK, ends[-1] if len(ends) else 0, HIT_BLOCK))):
+                n = (last - first)[part]
+                held = np.repeat(first[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(part) else part
+                pairs = np.unique(np.stack((owners[held], np.repeat(at[part], n) - places[held]), 1), axis=0) if len(part) else ()
+                found.update(map(tuple, pairs.tolist() if len(part) else ()))
         return found
 
 
@@ -126,6 +134,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, subs
         part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else own
         index = spark.sparkContext.broadcast(SeedIndex([(r[0], r[1]) for r in part.toLocalIterator()], masks))
         hits = texts.mapInArrow(_search(index, min_words, substitutions), "doc_id bigint, item_id bigint, overlap_words int, exact_words int")
+        if blocks > 1:  # one block at a time is held by the driver and the executors
+            hits = written(hits, "hits")
+            index.destroy()
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.max("overlap_words").alias("overlap_words"), F.max("exact_words").alias("exact_words"))
 
