@@ -545,7 +545,8 @@ def ingest(batch: DataFrame, history: History | None = None, keep: bool = True)
     classes = written(keyed.filter("text_key is not null").groupBy("text_key", "n_words").agg(F.min("entry_id").alias("text_id")), "classes")
     # a repeated entry_id may have rows with other bodies: the key tells which of them is the text
     mine = classes.select("text_id", F.col("text_key").alias("key"))
-    texts = entries.join(mine, (entries.entry_id == F.col("text_id")) & (entries.text_key == F.col("key"))).select(F.col("entry_id").alias("text_id"), "n_words", "tokens")
+    # compared as an array's member: a second key of the join would move the entries out of their buckets
+    texts = entries.join(mine, entries.entry_id == F.col("text_id")).filter(F.array_contains(F.array("key"), F.col("text_key"))).select(F.col("entry_id").alias("text_id"), "n_words", "tokens")
     signed = _signed(texts.filter(f"n_words >= {_FEWEST}"), history)
     lone = F.when(F.col("content_key").isNull() & F.col("text_key").isNull(), F.col("entry_id")).alias("lone")
     nodes = fresh = written(keyed.groupBy(*_KEYS, lone).agg(F.min("entry_id").alias("node")).drop("lone"), "nodes")
