@@ -8,7 +8,9 @@ import sqlite3
 import sys
 import zipfile
 from collections.abc import Callable
+from functools import partial
 from pathlib import Path
+from types import SimpleNamespace
 from typing import Any
 
 from auditframe import report
@@ -109,3 +111,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "manifest-duplicates":
         return int(args.fail_on_duplicates and finds(result))
     return int(finds(result))
+
+
+#: A function for each command, as ``pyproject.toml`` installs them.
+run = SimpleNamespace(**{name.replace("-", "_"): partial(lambda name: sys.exit(main([name, *sys.argv[1:]])), name) for name in COMMANDS})

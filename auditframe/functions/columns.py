@@ -110,7 +110,7 @@ def unicode_digits() -> tuple[str, str]:
     signs = [chr(c) for c in range(128, 0x20000)]
     zeros = [ord(c) for c in signs if unicodedata.decimal(c, None) == 0]
     runs = "".join(chr(zero + i) for zero in zeros for i in range(10))
-    return runs, "".join(chr(c) for c in range(28, 0x3001) if chr(c).isspace())
+    return runs, "".join(chr(c) for c in range(128, 0x3001) if chr(c).isspace())
 
 
 def one_byte_chars(content: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,9 @@ from auditframe.operators.csvrules import CsvRules
 from auditframe.operators.jsonlrules import JsonlRules
 from auditframe.operators.textrules import TextRules
 from auditframe.operators.ziprules import ZipRules
-from auditframe.runtime import spread, written
+from auditframe.runtime import own_folder, spread, written
+from auditframe.sources import readers
+from auditframe.sources.lines import numbered_lines
 from auditframe.streaming import rules as streaming
 
 QUERIES, ORACLE = {}, {}
@@ -453,3 +457,52 @@ def catalog_counts(spark, sf_dir):
             rows.append(("db", "column", i, None, column, name, int(kind == "string"), int(key), int(i == 0), None, None))
             rows += [("db", "index", i, None, None, name, None, None, None, None, None)] * key + [("db", "foreign_key", i, None, None, name, None, None, None, None, None)] * (key and i > 0)
     return catalogrules.table_counts(spark.createDataFrame(rows, catalogrules.CATALOG_SCHEMA)).drop("db")
+
+
+# ---- files -----------------------------------------------------------------------------------
+
+
+def _local(uri: str) -> str:
+    """The path of a file in a mounted shared folder, from its address."""
+    return uri if uri.startswith("/") else "/" + uri.split(":", 1)[1].lstrip("/")
+
+
+@_query(f"with {_M} select * from m")
+def tree_inventory(spark, sf_dir):
+    """The documents laid out as files in the shared folder, listed and hashed by the tree reader."""
+    root = _local(own_folder(spark, "tree"))
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = Path(root, path)
+                target.parent.mkdir(parents=True, exist_ok=True)
+                # a task that is run again writes the same file, and never half of it
+                part = target.with_name(f".{target.name}-{uuid.uuid4().hex}")
+                part.write_bytes(content or b"")
+                part.replace(target)
+            yield batch.select([0])
+
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".tex"))
+    _table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").cast("binary").alias("content")).mapInArrow(lay, "path string").write.format("noop").mode("overwrite").save()
+    return readers.tree(spark, root)
+
+
+@_query("select count(*) as data_rows, count(*) filter (c_acctbal >= 0 and c_nationkey <> 3) as valid_rows, count(*) filter (c_acctbal < 0 or c_nationkey = 3) as invalid_rows, 0 as duplicate_rows from customer")
+def csv_file_audit(spark, sf_dir):
+    """The customers as CSV files with quoted names, in which balances below zero and one nation's keys are written off their form; read by the CSV reader."""
+    folder = own_folder(spark, "csv")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"')).alias("name"), F.when(F.col("c_acctbal") < 0, "owed").otherwise(F.col("c_acctbal").cast("string")).alias("balance"), F.when(F.col("c_nationkey") == 3, "3.0").otherwise(F.col("c_nationkey").cast("string")).alias("nation"))
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    paths = [_local(r[0]) for r in spark.read.text(folder).select(F.col("_metadata.file_path").alias("p")).distinct().orderBy("p").collect()]
+    rules = CsvRules(("c_custkey", "name"), ("name",), "c_custkey", {"c_custkey": "integer", "balance": "number", "nation": "integer"})
+    return csvrules.csv_summary(readers.csv_files(spark, paths), rules).agg(*[F.sum(c).alias(c) for c in ("data_rows", "valid_rows", "invalid_rows", "duplicate_rows")])
+
+
+@_query(f"with l as (select {_DIRT} as content, event_id from events) select count(*) as total_lines, count(*) filter (event_id % 13 = 0) as blank_lines, count(*) filter (content like '{{%' and content not like '% x' and content not like '%NaN%' and content not like '%k%k%') as object_records from l")
+def jsonl_file_audit(spark, sf_dir):
+    """The events' properties as files of lines, with faults put in by rule, read with their line numbers."""
+    folder = own_folder(spark, "jsonl")
+    _table(spark, sf_dir, "events").select(F.expr(_DIRT)).write.text(folder)
+    found = jsonlrules.jsonl_summary(numbered_lines(spark, [folder]), JsonlRules(("k",)))
+    return found.agg(*[F.sum(c).alias(c) for c in ("total_lines", "blank_lines", "object_records")])

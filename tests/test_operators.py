@@ -119,3 +119,33 @@ def test_entry_points():
 def test_the_rest_works_without_the_subpackage():
     code = "import sys; sys.modules['auditframe.llm'] = None; sys.modules['auditframe.llm.queries'] = None\nimport __spark_entry__ as e\nassert not [q for q in e.queries() if q.startswith(('p2_', 'p6_', 'p7_', 'p8_'))]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, check=True)
+
+
+def test_installed_commands(monkeypatch, capsys, tmp_path):
+    import tomllib
+    from importlib.metadata import EntryPoint
+
+    from auditframe import cli
+
+    scripts = tomllib.loads((ROOT / "pyproject.toml").read_text())["project"]["scripts"]
+    assert set(scripts) == set(cli.COMMANDS)
+    (tmp_path / "a.json").write_text("[]")
+    monkeypatch.setattr(sys, "argv", ["manifest-duplicates", str(tmp_path / "missing.json")])
+    with pytest.raises(SystemExit) as ended:
+        EntryPoint("manifest-duplicates", scripts["manifest-duplicates"], "console_scripts").load()()
+    assert ended.value.code == 2 and "error" in capsys.readouterr().err
+
+
+def test_numbers_as_python_reads_them(spark):
+    values = ["1", " 1_0.5e3 ", "1__0", "\u0661\u0662", "\u00a01\u00a0", "\uff11.\uff15", "1\u0661", "nan", "inf", "1e999", "", ".", "\x1c1", "\x1c\u0661", "\U0001d7d0", "\u00b2", "x\u0661", "-\u0967_\u0968"]
+
+    def fits(value):
+        try:
+            return abs(float(value)) < float("inf")
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select("v", columns.is_type(F.col("v"), "number").alias("n"))
+    assert {r["v"]: r["n"] for r in got.collect()} == {v: fits(v) for v in values}
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
